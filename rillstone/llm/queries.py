@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, token_files
+from . import byte_bpe, embedding_dedup, packing, token_files, topk_search, url_rules
 from .common import table
 
 
@@ -26,9 +26,42 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_table(table(spark, sf_dir, "documents"), _file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_digests(table(spark, sf_dir, "documents"), _file("word_bpe_49k.json"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+HOST_RULES = (
+    url_rules.HostRule("com", "/", "allow"),
+    url_rules.HostRule("example.com", "/en/", "block"),
+    url_rules.HostRule("www.example.com", "/en/", "allow"),
+    url_rules.HostRule("net", "/es/", "block"),
+    url_rules.HostRule("net", "/fr/", "block"),
+)
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), HOST_RULES)
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_packing": op3_packing,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_url_rules": op7_url_rules,
+    "op10_topk_search": op10_topk_search,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_embedding_dedup": embedding_dedup.SQL,
+    "op7_url_rules": url_rules.judge_sql(HOST_RULES),
+    "op10_topk_search": topk_search.SQL,
+}
