@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -41,10 +42,15 @@ def split_words(text: str) -> list[str] | None:
 
 
 class ChunkCoder:
-    """Encodes texts by distinct chunks; memory is bounded by `cap` and `cap_ids`."""
+    """Encodes texts by distinct chunks.
 
-    def __init__(self, encode: Callable[[Sequence[str]], list[Sequence[int]]], split: Callable[[str], list[str] | None], cap: int = 250_000, cap_ids: int = 4_000_000, longest: int = 256):
-        self.encode_many, self.split, self.cap, self.cap_ids, self.longest = encode, split, cap, cap_ids, longest
+    The first `cap` chunks are kept; later ones are encoded once for each call and
+    forgotten. Where over a third of a call's chunks are not kept, the texts have
+    changed and the cache starts anew. So memory is bounded.
+    """
+
+    def __init__(self, encode: Callable[[Sequence[str]], list[Sequence[int]]], split: Callable[[str], list[str] | None], cap: int = 600_000, longest: int = 256):
+        self.encode_many, self.split, self.cap, self.longest = encode, split, cap, longest
         self.reset()
 
     def reset(self) -> None:
@@ -57,16 +63,32 @@ class ChunkCoder:
                 code = coder.n
                 coder.n += 1
                 coder.new.append(chunk)
-                if len(chunk) <= coder.longest:
-                    self[chunk] = code
+                self[chunk] = code
                 return code
 
         self.codes = Codes()
-        self.used = 0
+        self.kept = self.used = 0
         self.flat = np.empty(1 << 16, np.uint32)
         self.starts = np.empty(1 << 14, np.int64)
         self.sizes = np.empty(1 << 14, np.int64)
 
+    def _forget(self) -> None:
+        """Keep of this call's new chunks what there is room for."""
+        first, base = self.n - len(self.new), self.base
+        keep = [i for i, chunk in enumerate(self.new) if len(chunk) <= self.longest][: max(self.cap - self.kept, 0)]
+        for chunk in self.new:
+            del self.codes[chunk]
+        self.codes.update((self.new[i], self.kept + j) for j, i in enumerate(keep))
+        rows = np.array(keep, np.int64) + first
+        sizes = self.sizes[rows]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(keep) else 0
+        self.flat[base : base + total] = self.flat[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(total)]
+        self.starts[first : first + len(keep)], self.sizes[first : first + len(keep)] = base + ends - sizes, sizes
+        self.n = self.kept = first + len(keep)
+        self.used = base + total
+        self.new = []
+
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         if n <= len(a):
@@ -84,16 +106,13 @@ class ChunkCoder:
             self.flat = self._room(self.flat, self.used + total)
             self.starts = self._room(self.starts, at + len(ids))
             self.sizes = self._room(self.sizes, at + len(ids))
-            self.flat[self.used : self.used + total] = np.concatenate([np.asarray(x, np.uint32) for x in ids]) if total else 0
+            self.flat[self.used : self.used + total] = np.concatenate(ids) if isinstance(ids[0], np.ndarray) else np.fromiter(chain.from_iterable(ids), np.uint32, total)
             self.sizes[at : at + len(ids)] = sizes
             self.starts[at : at + len(ids)] = self.used + np.cumsum(sizes) - sizes
             self.used += total
-        self.new = []
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one behind the other, and the number of ids of each."""
-        if len(self.codes) > self.cap or self.used > self.cap_ids:
-            self.reset()
         chunks: list[str] = []
         counts = np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -103,11 +122,15 @@ class ChunkCoder:
             chunks += own
             counts[i] = len(own)
         codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
+        self.base = self.used
         if self.new:
             self._learn()
         sizes = self.sizes[codes]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.flat[np.repeat(self.starts[codes] - ends[:-1], sizes) + np.arange(ends[-1])]
+        if self.new:
+            stale = self.kept >= self.cap and 3 * np.count_nonzero(codes >= self.kept) > len(codes)
+            self.reset() if stale else self._forget()
         return ids, np.diff(ends[np.concatenate(([0], np.cumsum(counts)))])
 
 
