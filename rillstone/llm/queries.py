@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, packing, token_files, topk_search, url_rules
+from . import byte_bpe, embedding_dedup, language_id, line_dedup, minhash, packing, quality, token_files, topk_search, url_rules
 from .common import table
 
 
@@ -30,6 +30,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"), _file("word_bpe_49k.json"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, stats=True)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op5_query(table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -47,6 +56,15 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), HOST_RULES)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.fit(docs))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_inner_products(table(spark, sf_dir, "embeddings"))
 
@@ -55,13 +73,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_packing": op3_packing,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_language_id": op5_language_id,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_url_rules": op7_url_rules,
+    "op8_quality": op8_quality,
+    "op9_minhash": op9_minhash,
     "op10_topk_search": op10_topk_search,
 }
 
 SQL: dict[str, str] = {
+    "op4_line_dedup": line_dedup.SQL,
     "op6_embedding_dedup": embedding_dedup.SQL,
     "op7_url_rules": url_rules.judge_sql(HOST_RULES),
+    "op9_minhash": minhash.SQL,
     "op10_topk_search": topk_search.SQL,
 }
