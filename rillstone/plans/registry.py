@@ -1,10 +1,5 @@
-"""All queries and their SQL, gathered from the modules of this folder."""
+"""All queries and their SQL."""
 
-from __future__ import annotations
+from .reference import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
