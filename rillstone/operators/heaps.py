@@ -4,7 +4,6 @@ reservoir. Each offers the same calls; a full store hands back what it evicts.""
 from __future__ import annotations
 
 import heapq
-import itertools
 import math
 from collections.abc import Callable, Hashable, Iterator
 
@@ -19,7 +18,7 @@ class _Ranked:
         self.value: dict[Hashable, float] = {}
         self.rank: dict[Hashable, tuple] = {}
         self._heap: list[tuple] = []
-        self._tick = itertools.count()
+        self._tick = 0
 
     def __len__(self) -> int:
         return len(self.value)
@@ -41,7 +40,8 @@ class _Ranked:
         return list(self.value.items())
 
     def _put(self, key: Hashable, rank: float, value: float) -> None:
-        entry = (rank, next(self._tick), key)
+        self._tick += 1
+        entry = (rank, self._tick, key)
         self.rank[key], self.value[key] = entry, value
         heapq.heappush(self._heap, entry)
         if len(self._heap) > 4 * self.capacity + 64:
