@@ -65,7 +65,7 @@ def classify(spark: SparkSession, a: argparse.Namespace) -> str:
     if a.iters or a.sample:
         from pyspark.sql import Window
 
-        dense = rows.withColumn("n", (F.row_number().over(Window.orderBy("seq")) - 1).cast("bigint")).drop("seq")
+        dense = rows.withColumn("n", (F.row_number().over(Window.orderBy("place")) - 1).cast("bigint")).drop("seq", "place")
         draws = a.iters or a.epochs * n
         index = F.pmod(PolynomialHash(1, seed).column(F.col("i")), F.lit(n)) if a.sample else F.pmod(F.col("i"), F.lit(n))
         rows, epochs = libsvm.sample_with_replacement(dense, draws, index, by="n").withColumnRenamed("draw", "seq"), 1

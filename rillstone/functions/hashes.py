@@ -85,17 +85,31 @@ def bucket(h: Column, log2_width: int) -> Column:
     return h.bitwiseAND(F.lit((1 << log2_width) - 1)).cast("int")
 
 
+# Fixed values of the published MurmurHash3 (32-bit form).
+MURMUR_BLOCK = (0xCC9E2D51, 15, 0x1B873593)
+MURMUR_STEP = (13, 5, 0xE6546B64)
+MURMUR_END = ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1))
+
+
 def murmur32(data: bytes, seed: int = 0) -> int:
-    """MurmurHash3 for 32-bit machines, the published algorithm (32-bit result)."""
+    """MurmurHash3 for 32-bit machines, by its published description."""
+
+    def rotate(v: int, r: int) -> int:
+        return (v << r | v >> 32 - r) & M32
+
+    def scramble(block: bytes) -> int:
+        first, turn, second = MURMUR_BLOCK
+        return rotate(int.from_bytes(block, "little") * first & M32, turn) * second & M32
+
+    turn, factor, addend = MURMUR_STEP
     h, n = seed & M32, len(data)
-    rotate = lambda v, r: (v << r | v >> 32 - r) & M32
-    scramble = lambda k: rotate(k * 0xCC9E2D51 & M32, 15) * 0x1B873593 & M32
-    for at in range(0, n - 3, 4):
-        h = rotate(h ^ scramble(int.from_bytes(data[at : at + 4], "little")), 13) * 5 + 0xE6546B64 & M32
-    if n % 4:
-        h ^= scramble(int.from_bytes(data[n - n % 4 :], "little"))
+    whole = n - n % 4
+    for at in range(0, whole, 4):
+        h = rotate(h ^ scramble(data[at : at + 4]), turn) * factor + addend & M32
+    if whole < n:
+        h ^= scramble(data[whole:])
     h ^= n
-    for shift, mult in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+    for shift, mult in MURMUR_END:
         h = (h ^ h >> shift) * mult & M32
     return h
 

@@ -382,7 +382,15 @@ class ActiveSet(_Sketched):
             return
         new = self.now[out] - u * v[out]
         size = np.abs(new)
-        order = np.argsort(-size, kind="stable")
+        if self.n < self.spec.k:
+            order = np.argsort(-size, kind="stable")
+            turned = order[:0]
+        else:  # what is below the least weight of the set stays out whatever happens
+            enters = size >= np.abs(self.w).min()
+            order, turned = np.flatnonzero(enters), np.flatnonzero(~enters)
+            if len(order) > 1:
+                order = order[np.argsort(-size[order], kind="stable")]
+        one = self.spec.depth == 1
         for n, j in enumerate(order.tolist()):
             i = int(at[out[j]])
             if self.n < self.spec.k:
@@ -392,18 +400,26 @@ class ActiveSet(_Sketched):
             else:
                 m = int(np.abs(self.w).argmin())
                 if abs(self.w[m]) > size[j]:
-                    rest = out[order[n:]]
-                    np.add.at(self.table, self.cell[:, at[rest]], -u * v[rest] * self.sign[:, at[rest]])
-                    return
+                    turned = np.concatenate((turned, order[n:]))
+                    break
                 gone, c, g = self.who[m], self.own_cell[:, m], self.own_sign[:, m]
-                est = float(np.median(g * self.table[c]))
-                np.add.at(self.table, c, g * (self.w[m] - est))
+                if one:
+                    self.table[c[0]] = g[0] * self.w[m]
+                else:
+                    est = float(np.median(g * self.table[c]))
+                    np.add.at(self.table, c, g * (self.w[m] - est))
                 del self.slot[gone]
                 if (old := self.index.get(gone)) is not None:
                     self.loc[old] = -1
             self.w[m], self.who[m], self.slot[self.keys[i]] = new[j], self.keys[i], m
             self.own_cell[:, m], self.own_sign[:, m] = self.cell[:, i], self.sign[:, i]
             self.loc[i] = m
+        if len(turned):
+            own = at[out[turned]]
+            if one:
+                np.add.at(self.table, self.cell[0, own], -u * v[out[turned]] * self.sign[0, own])
+            else:
+                np.add.at(self.table, self.cell[:, own], -u * v[out[turned]] * self.sign[:, own])
 
     def stored(self):
         return list(self.who), self.w[: self.n]

@@ -49,7 +49,8 @@ def model_name(spec: Spec, at: int) -> str:
 
 
 def fit(examples: DataFrame, specs: Spec | Sequence[Spec], predictions: bool = False, keep_state: bool = False, epochs: int = 1) -> DataFrame:
-    """Train a model for each spec on examples (seq, label, features[, epoch]).
+    """Train a model for each spec on examples (seq, label, features[, epoch][, place])
+    in order of epoch, then place or seq.
 
     Rows by kind: `weight` (key, weight), the k largest; `bias` (weight); `stat`
     (n = examples, weight = errors before learning); with `predictions` also `pred`
@@ -58,14 +59,15 @@ def fit(examples: DataFrame, specs: Spec | Sequence[Spec], predictions: bool = F
     specs = [specs] if isinstance(specs, Spec) else list(specs)
     names = {model_name(s, i): s for i, s in enumerate(specs)}
     order = ["epoch"] if "epoch" in examples.columns else []
-    rows = examples.select("seq", "label", "features", *order)
+    by = "place" if "place" in examples.columns else "seq"
+    rows = examples.select("seq", "label", "features", *order, *([by] if by != "seq" else []))
     if epochs > 1:
         rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
         order = ["epoch"]
     # the models are few and named here: a row is repeated for each, without a join
     rows = rows.withColumn("model_id", F.explode(F.lit(list(names)))) if len(names) > 1 else rows.withColumn("model_id", F.lit(next(iter(names))))
     parts = min(len(names), 4096)
-    ordered = rows.repartition(parts, "model_id").sortWithinPartitions("model_id", *order, "seq")
+    ordered = rows.repartition(parts, "model_id").sortWithinPartitions("model_id", *order, by)
 
     def run(batches):
         model, now, errors, seen = None, None, 0, 0

@@ -47,15 +47,14 @@ def parse(lines: DataFrame, line: str = "value", strict: bool = True) -> DataFra
 
 
 def read_libsvm(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """seq, label, features of a text file or folder.
+    """seq, label, features, place of a text file or folder.
 
-    seq follows files by name and lines within a file. Line numbers come from the
-    place of a line in its split: splits are read in order, so the number of the split
-    and the place in it sort as the lines do.
+    place (file, seq) is the order of files by name and of lines within a file, which
+    `fit` sorts by. seq alone orders the lines of one file: the splits of a file are
+    numbered in order, and a line's number holds its partition and place in it.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), "value", F.input_file_name().alias("__file"), F.col("_metadata.file_block_start").alias("__start"))
-    place = F.struct("__file", "__start", "seq")
-    return parse(lines.withColumn("place", place), strict=strict).select("seq", "label", "features", "place")
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), "value", F.input_file_name().alias("file"))
+    return parse(lines.withColumn("place", F.struct("file", "seq")), strict=strict).select("seq", "label", "features", "place")
 
 
 def feature_dim(examples: DataFrame) -> DataFrame:
