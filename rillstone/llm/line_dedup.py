@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from .common import settle
 
 WINDOW, MODULUS, LONG_LINE = 2, 4, 50
+#: Up to so many texts and chunk numbers to remove (about 40 bytes each) are broadcast.
+BROADCAST_MARKS = 1_000_000
 
 
 def chunks(text: str) -> list[tuple[int, str, bool]]:
@@ -91,6 +93,10 @@ def dedup_lines(docs: DataFrame, owner: str = "", stats: bool = False) -> DataFr
     """The rows of docs with repeated chunks removed from text, and n_chars (where docs
     have it) set to the new length; `stats` adds lines_kept and lines_removed."""
     gone = repeated(docs, owner)
+    marks = gone.agg(F.count("*") + F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
+    # texts with removals are few; up to this size they need not move the others
+    if marks <= BROADCAST_MARKS:
+        gone = F.broadcast(gone)
     joined = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.name")), "left").select("d.*", F.col("g.gone").alias("__gone"))
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, *([T.StructField("lines_kept", T.LongType()), T.StructField("lines_removed", T.LongType())] if stats else [])])
