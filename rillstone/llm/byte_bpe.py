@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .chunks import ChunkCoder, split_blanks, text_slices
+from .chunks import ChunkCoder, claim, split_blanks, text_slices
 
 LONGEST = 256
 NONE = np.uint32(0xFFFFFFFF)
@@ -198,6 +198,7 @@ _loaded: dict[tuple[str, str], ByteBpe] = {}
 
 
 def loaded(ranks_path: str, pattern: str) -> ByteBpe:
+    claim((ranks_path, pattern), lambda: _loaded.pop((ranks_path, pattern), None))
     if (ranks_path, pattern) not in _loaded:
         _loaded[ranks_path, pattern] = ByteBpe(read_ranks(ranks_path), pattern)
     return _loaded[ranks_path, pattern]
@@ -209,9 +210,9 @@ def encode_table(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def encode(batches):
         bpe = loaded(ranks_path, pattern)
         for batch in batches:
-            texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            for lo, hi in text_slices(texts):
-                ids, sizes = bpe.encode(texts[lo:hi])
+            doc_ids = batch.column("doc_id")
+            for lo, hi, texts in text_slices(batch.column("text")):
+                ids, sizes = bpe.encode(texts)
                 raw, ends = ids.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(sizes))).tolist()
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), pa.array([raw[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["doc_id", "ids"])
 
@@ -238,9 +239,9 @@ def digest_table(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches):
         bpe = loaded(ranks_path, pattern)
         for batch in batches:
-            texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            for lo, hi in text_slices(texts):
-                ids, sizes = bpe.encode(texts[lo:hi])
+            doc_ids = batch.column("doc_id")
+            for lo, hi, texts in text_slices(batch.column("text")):
+                ids, sizes = bpe.encode(texts)
                 raw, ends = memoryview(ids.astype("<u4").tobytes()), np.concatenate(([0], np.cumsum(sizes))).tolist()
                 spans = list(zip(ends, ends[1:], strict=False))
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), pa.array(sizes), pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in spans], pa.string()), pa.array([hashlib.sha256(bpe.decode(np.frombuffer(raw[4 * a : 4 * b], "<u4"))).hexdigest() for a, b in spans], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -9,6 +9,8 @@ from collections.abc import Callable, Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space besides blank and newline, as str.isspace() has it.
 _OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -49,7 +51,7 @@ class ChunkCoder:
     changed and the cache starts anew. So memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[Sequence[str]], list[Sequence[int]]], split: Callable[[str], list[str] | None], cap: int = 600_000, longest: int = 256):
+    def __init__(self, encode: Callable[[Sequence[str]], list[Sequence[int]]], split: Callable[[str], list[str] | None], cap: int = 300_000, longest: int = 256):
         self.encode_many, self.split, self.cap, self.longest = encode, split, cap, longest
         self.reset()
 
@@ -134,17 +136,28 @@ class ChunkCoder:
         return ids, np.diff(ends[np.concatenate(([0], np.cumsum(counts)))])
 
 
-def text_slices(texts: Sequence[str | None], most: int = 2_000_000):
-    """Ranges of rows of about `most` characters, at least one row each."""
-    lo = size = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
-        if i > lo and size + n > most:
-            yield lo, i
-            lo, size = i, 0
-        size += n
-    if lo < len(texts):
-        yield lo, len(texts)
+def text_slices(column: pa.Array, most: int = 1_000_000):
+    """Ranges of rows of about `most` bytes, at least one row each, with their texts; so
+    only a slice of an Arrow batch lives as Python strings at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi, column.slice(lo, hi - lo).to_pylist()
+        lo = hi
+
+
+_holder: list[tuple[object, Callable[[], object]]] = []
+
+
+def claim(key: object, drop: Callable[[], object]) -> None:
+    """Only one operator's caches live in a worker: when another claims, `drop` is
+    called. Workers serve many stages, whose caches would else add up."""
+    if _holder and _holder[0][0] != key:
+        _holder.pop()[1]()
+    if not _holder:
+        _holder.append((key, drop))
 
 
 _coders: dict[tuple[str, str], ChunkCoder] = {}
@@ -152,6 +165,7 @@ _coders: dict[tuple[str, str], ChunkCoder] = {}
 
 def library_coder(path: str, kind: str) -> ChunkCoder:
     """The process's coder over a file of the tokenizers library; kind: blanks or words."""
+    claim((path, kind), lambda: _coders.pop((path, kind), None))
     if (path, kind) not in _coders:
         import os
 

@@ -3,7 +3,8 @@
 Each round is two aggregations for the minima (combined before the shuffle, so a node
 with very many neighbours is no burden) and two joins; rounds are written to the
 shared folder, so a lost executor costs one round at most. Before the first round
-every partition contracts its own edges with a union-find, which shortens long chains.
+every partition contracts its own edges with a union-find, which shortens long chains;
+if at most `ONE_TASK` edges are left after that, one task finishes.
 """
 
 from __future__ import annotations
@@ -52,12 +53,26 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
 
 
+def _whole(batches):
+    held = [(b.column("a").to_numpy(zero_copy_only=False), b.column("b").to_numpy(zero_copy_only=False)) for b in batches]
+    if held:
+        u, v = forest(*map(np.concatenate, zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
+
+
+#: Up to so many edges (16 bytes each) are contracted in one task instead of rounds.
+ONE_TASK = 200_000
+
+
 def components(edges: DataFrame, owner: str = "", rounds: int = 60) -> DataFrame:
     """Edges (a, b) of longs to (node, component): the smallest node each one reaches.
 
     Nodes that are smallest themselves do not appear. Raises if `rounds` are too few.
     """
     e = settle(edges.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long"), "cc", owner)
+    if e.count() <= ONE_TASK:
+        e = settle(e.coalesce(1).mapInArrow(_whole, "a long, b long"), "cc", owner)
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = None
     for _ in range(rounds):
         mark = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.count_distinct("a").alias("d")).first()

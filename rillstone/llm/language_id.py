@@ -24,12 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import text_slices
+from .chunks import claim, text_slices
 
 ORDERS = (4, 3, 2, 1)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def pieces(text: str) -> list[str]:
+    """Chunks between white space and the commonest marks, in lower case."""
+    text = text.lower()
+    for mark in ".,!|":
+        if mark in text:
+            text = text.replace(mark, " ")
+    return text.split()
+
+
 def letters(chunk: str) -> list[str]:
     """Runs of letters in a chunk without white space."""
     if chunk.isalpha():
@@ -95,7 +104,7 @@ class Model:
         chunks: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            own = t.lower().split() if t else []
+            own = pieces(t) if t else []
             chunks += own
             counts[i] = len(own)
         kept = self.n
@@ -153,7 +162,7 @@ def learn(docs: DataFrame, per_language: int = 1500, top_words: int = 40_000, to
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 c = held.setdefault(lang, Counter())
-                for chunk, k in Counter(text.lower().split()).items():
+                for chunk, k in Counter(pieces(text)).items():
                     for w in letters(chunk):
                         c[w] += k
             if sum(map(len, held.values())) > 300_000:
@@ -190,10 +199,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = shared.value
+        claim(id(own), own.restart)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in text_slices(texts):
-                lang, score = own.predict(texts[lo:hi])
+            for lo, hi, texts in text_slices(batch.column("text")):
+                lang, score = own.predict(texts)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -205,10 +214,10 @@ def keep_sure(docs: DataFrame, model: Model, least: float = 0.6) -> DataFrame:
 
     def run(batches):
         own = shared.value
+        claim(id(own), own.restart)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in text_slices(texts):
-                lang, score = own.predict(texts[lo:hi])
+            for lo, hi, texts in text_slices(batch.column("text")):
+                lang, score = own.predict(texts)
                 yield batch.slice(lo, hi - lo).filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -12,15 +12,20 @@ region. Regions that reach over a border between tasks are joined by the rows at
 Candidates are thinned by set sizes and by agreement of one-byte signatures (below
 `floor` matches of all minhashes a true link is rarer than 1 in 10^9), then confirmed
 on full sets in three steps: each document's most frequent candidate, its next eight,
-and all the rest, every time without pairs that are already in one component. So no
-group is expanded into all its pairs, and no candidate is dropped.
+and all the rest, every time without pairs that are already in one component. Regions
+with more rows than the window covers are looked at again: documents that share such
+regions are a family, and where a family still holds several components, all its
+documents outside the largest one are compared with all others on full sets, in blocks
+(a task holds at most about 2 * BLOCK documents and returns a forest of links). So a
+group that links is not expanded into its pairs, and no candidate is dropped.
 
 A pair with Jaccard 0.8 shares no region with probability (1 - 0.8^4)^28 < 10^-6.
 
 Defined results: null or blank texts have an empty set, link with nothing and are kept
 as their own component; repeated rows are one class; rows that share a doc_id are
-judged each by its own text; a null doc_id has a null component and is never a
-representative; further columns are ignored, and kept with `keep_columns`.
+judged each by its own text; a null doc_id has a null component, is never a
+representative and stays; further columns are ignored, or kept with `keep_columns`,
+where a row that repeats both doc_id and text stays once.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .chunks import text_slices
 from .common import settle, shuffle_parts
-from .components import components
+from .components import components, forest
 from .wordhash import mix, shingles, words
 
 TREES, DEPTH = 28, 4
@@ -69,16 +74,16 @@ def floor_of(similarity: float) -> int:
     return max(0, int(HASHES * similarity - 6.2 * np.sqrt(HASHES * similarity * (1 - similarity))))
 
 
-def _sets(texts: list[str | None], size: int):
-    for lo, hi in text_slices(texts):
-        _, _, _, h, counts = words(texts[lo:hi])
+def _sets(column: pa.Array, size: int):
+    for lo, hi, texts in text_slices(column, 500_000):
+        _, _, _, h, counts = words(texts)
         yield lo, hi, *shingles(h, counts, size)
 
 
 def _fingerprints(size: int):
     def run(batches):
         for batch in batches:
-            for lo, hi, sets, sizes in _sets(batch.column("text").to_pylist(), size):
+            for lo, hi, sets, sizes in _sets(batch.column("text"), size):
                 some = np.flatnonzero(sizes)
                 sig = signatures(sets, sizes[some]) if len(some) else np.empty((0, HASHES), np.uint32)
                 raw, ends = memoryview(sets.tobytes()), np.cumsum(sizes) * 8
@@ -108,7 +113,8 @@ def _tree_rows(batches):
 
 
 def _neighbours(window: int, least: float):
-    """Candidate pairs of a sorted partition, and its first and last rows (border)."""
+    """Candidate pairs of a sorted partition, its first and last rows (border), and the
+    regions that have more rows than the window covers."""
     names = ["a", "b", "tree", "region", "part", "last"]
 
     def run(batches):
@@ -135,7 +141,7 @@ def _neighbours(window: int, least: float):
                 i = i[i - back >= first[i]]
                 found.append((i, i - back))
             i = np.arange(held, len(rep))
-            far = i[i - first[i] > window]
+            far = i[i - first[i] > window]  # in a carried region, its true head is added below
             a = np.concatenate([x for x, _ in found] + [far])
             pair_n = np.concatenate([n[y] for _, y in found] + [n[first[far]]])
             b = np.concatenate([rep[y] for _, y in found] + [rep[first[far]]])
@@ -150,6 +156,11 @@ def _neighbours(window: int, least: float):
             if len(x):
                 none = len(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.bool_())], names)
+            place = np.arange(len(rep))
+            over = np.flatnonzero((place >= held) & ((place - first == window + 1) | ((first == 0) & (place == held) & (held >= window))))
+            if len(over):
+                none = len(over)
+                yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.array(tree[over], pa.int32()), pa.array(region[over]), pa.nulls(none, pa.int32()), pa.nulls(none, pa.bool_())], names)
             last = first[-1]
             if last > 0 or head is None:
                 head = (rep[last], n[last])
@@ -161,6 +172,38 @@ def _neighbours(window: int, least: float):
     return run
 
 
+def _across(percent: int):
+    """Links between home rows and rows of other components, found on full sets: for a
+    home row the postings of its shingles give all intersections at once. Returns a
+    forest that spans the links."""
+
+    def run(table: pa.Table) -> pa.Table:
+        home = table.column("home").to_numpy(zero_copy_only=False)
+        rep, comp = table.column("rep").to_numpy(), table.column("comp").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        mine, others = np.flatnonzero(home), np.flatnonzero(~home)
+        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(mine) and len(others):
+            size = np.array([len(sets[i]) for i in others.tolist()])
+            shingle = np.concatenate([sets[i] for i in others.tolist()])
+            order = np.argsort(shingle, kind="stable")
+            shingle, owner = shingle[order], np.repeat(np.arange(len(others)), size)[order]
+            found = []
+            for i in mine.tolist():
+                lo, hi = np.searchsorted(shingle, sets[i], "left"), np.searchsorted(shingle, sets[i], "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], minlength=len(others))
+                ok = (100 * shared >= percent * (len(sets[i]) + size - shared)) & (comp[others] != comp[i])
+                found.append((np.full(ok.sum(), rep[i]), rep[others[ok]]))
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(a):
+                a, b = forest(a, b)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _alike(floor: int):
     def run(batches):
         for batch in batches:
@@ -188,9 +231,11 @@ def _confirmed(percent: int):
 
 #: Up to so many document ids (8 bytes each) are broadcast to filter the second scan.
 BROADCAST_IDS = 1_000_000
+#: Documents of a side in a task of a family.
+BLOCK = 1024
 
 
-def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: int = 8, owner: str = "", keep_columns: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: int = 3, owner: str = "", keep_columns: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; with `keep_columns` the kept rows of
     `docs` with all their columns (one row of each component) instead."""
     spark = docs.sparkSession
@@ -217,37 +262,64 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: i
         across += [(max(x["a"], v["a"]), min(x["a"], v["a"])) for x in {u["a"]: u, heads["a"]: heads}.values() if x["a"] != v["a"]]
         if (border[q, True]["tree"], border[q, True]["region"]) != (v["tree"], v["region"]):
             heads = None
-    pairs = found.where("part is null").select("a", "b").union(spark.createDataFrame(across or [(0, 0)], "a long, b long").where("a <> b"))
+    split = [(u["tree"], u["region"]) for p, q in zip(ends, ends[1:], strict=False) for u in [border[p, True]] if (u["tree"], u["region"]) == (border[q, False]["tree"], border[q, False]["region"])]
+    crowded = found.where("a is null").select("tree", "region")
+    if split:
+        crowded = crowded.union(spark.createDataFrame(split, "tree int, region long"))
+    crowded = settle(crowded.distinct(), "crowded", owner)
+    pairs = found.where("part is null and a is not null").select("a", "b").union(spark.createDataFrame(across or [(0, 0)], "a long, b long").where("a <> b"))
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
     small = classes.select(F.col("rep").alias("id"), "small")
     alike = counted.join(small.select(F.col("id").alias("a"), F.col("small").alias("x")), "a").join(small.select(F.col("id").alias("b"), F.col("small").alias("y")), "b").select("a", "b", "n", "x", "y").mapInArrow(_alike(floor_of(least)), "a long, b long, n long").groupBy("a", "b").agg(F.max("n").alias("n"))
     turn = Window.partitionBy("a").orderBy(F.col("n").desc(), "b")
     ranked = settle(alike.withColumn("turn", F.row_number().over(turn)), "pairs", owner)
 
-    involved = ranked.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    many = ranked.count() * 2
-    wanted = F.broadcast(involved) if many <= BROADCAST_IDS else involved
-
     def full_sets(batches):
         for batch in batches:
-            for lo, hi, sets, sizes in _sets(batch.column("text").to_pylist(), size):
+            for lo, hi, sets, sizes in _sets(batch.column("text"), size):
                 raw, ends = memoryview(sets.tobytes()), (np.cumsum(sizes) * 8).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([raw[e - int(n) * 8 : e] for e, n in zip(ends, sizes, strict=True)], pa.binary())], ["id", "set"])
 
-    full = settle(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(full_sets, "id long, set binary").where("length(set) > 0"), "sets", owner)
-    left, right = full.select(F.col("id").alias("a"), F.col("set").alias("x")), full.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    links, comp = None, None
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        wanted = F.broadcast(involved) if pairs.count() * 2 <= BROADCAST_IDS else involved
+        return settle(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(full_sets, "id long, set binary").where("length(set) > 0"), "sets", owner)
+
+    def linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
+        left, right = full.select(F.col("id").alias("a"), F.col("set").alias("x")), full.select(F.col("id").alias("b"), F.col("set").alias("y"))
+        return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long")
+
+    def component_of(c: str) -> DataFrame:
+        return comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+
+    full, comp = sets_of(ranked), None
     for lo, hi in ((1, 1), (2, 9), (10, None)):
         step = ranked.where(F.col("turn") >= lo) if hi is None else ranked.where(F.col("turn").between(lo, hi))
         if comp is not None:
-            of = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))  # noqa: E731,B023
-            step = step.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+            step = step.join(component_of("a"), "a", "left").join(component_of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
             step = settle(step.select("a", "b"), "step", owner)
             if step.isEmpty():
                 continue
-        sure = step.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long")
-        edges = sure if comp is None else sure.union(comp.select("node", "component"))
-        comp = components(edges, owner)
+        sure = linked(step, full)
+        comp = components(sure if comp is None else sure.union(comp.select("node", "component")), owner)
+
+    # what the window does not cover: families of crowded regions with several components
+    if not crowded.isEmpty():
+        few = F.broadcast(crowded) if crowded.count() <= BROADCAST_IDS // 2 else crowded
+        rows = settle(classes.select("rep", "n", "sig").mapInArrow(_tree_rows, "tree int, region long, deeper long, rep long, n long").join(few, ["tree", "region"]).select("tree", "region", "rep"), "crowded-rows", owner)
+        heads = rows.groupBy("tree", "region").agg(F.min("rep").alias("b"))
+        family = components(rows.join(heads, ["tree", "region"]).select(F.col("rep").alias("a"), "b"), owner)
+        own = rows.select("rep").distinct().join(family, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("family"))
+        own = settle(own.join(component_of("rep"), "rep", "left").select("rep", "family", F.coalesce("crep", "rep").alias("comp")), "families", owner)
+        parts_of = own.groupBy("family", "comp").agg(F.count("*").alias("n"))
+        several = parts_of.groupBy("family").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps"), F.sum("n").alias("n")).where("comps > 1").select("family", F.col("most.comp").alias("largest"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        own = settle(own.join(several, "family"), "families", owner)
+        if not own.isEmpty():
+            both = sets_of(own.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+            with_sets = own.join(both, F.col("rep") == F.col("id")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            sides = with_sets.where("comp <> largest").select("family", F.col("salt").alias("i"), F.col("other").alias("j"), "rep", "comp", "set", F.lit(True).alias("home")).union(with_sets.select("family", F.col("other").alias("i"), F.col("salt").alias("j"), "rep", "comp", "set", F.lit(False).alias("home")))
+            more = settle(sides.groupBy("family", "i", "j").applyInArrow(_across(percent), "a long, b long"), "more", owner)
+            comp = components(more.union(comp.select("node", "component")), owner)
     rep = classes.select("name", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("name", F.coalesce("component", "rep").alias("of"))
     # a row's class may hold smaller ids of documents that have further texts
     out = prints.select("doc_id", "n_shingles", "name").join(rep, "name", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id")).alias("component_id"))
@@ -255,8 +327,12 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: i
     if not keep_columns:
         return out
     gone = settle(out.where("not kept").select("doc_id").distinct(), "gone", owner)
-    n = gone.count()
-    rest = docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    rest = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    twice = settle(prints.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice", owner)
+    n = twice.count()
+    if n:  # rows that repeat a doc_id and its text count once, too
+        few = F.broadcast(twice) if n <= BROADCAST_IDS else twice
+        rest = rest.join(few, "doc_id", "left_anti").union(rest.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     return rest
 
 

@@ -127,9 +127,8 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int
     def cut(batches):
         coder = library_coder(tokenizer, "words")
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in text_slices(texts):
-                ids, sizes = with_end(*coder.encode(texts[lo:hi]), end_id)
+            for lo, hi, texts in text_slices(batch.column("text")):
+                ids, sizes = with_end(*coder.encode(texts), end_id)
                 pieces = -(-sizes // length)
                 doc = np.repeat(np.arange(hi - lo), pieces)
                 start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * length

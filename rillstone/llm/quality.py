@@ -91,12 +91,12 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -
     """By EM: the posterior probability of good for each vote pattern, the share of
     good documents, and each labeller's rates (class good or bad; vote -1, 0, +1).
 
-    Starts from the majority vote, so that good is the class that most votes for good
-    agree with; rates are smoothed by one pseudo-document for each outcome.
+    Starts from the votes for bad, of which two outweigh all others: a labeller looks
+    for one kind of fault and finds none in texts with another. Rates are smoothed by
+    one pseudo-document for each outcome.
     """
     n = patterns.shape[1]
-    total = patterns.sum(1)
-    good = np.where(total > 0, 0.9, np.where(total < 0, 0.1, 0.5))
+    good = np.choose(np.minimum((patterns == -1).sum(1), 2), [0.9, 0.5, 0.1])
     share, rates = 0.5, np.full((2, n, 3), 1 / 3)
     for _ in range(rounds):
         share = float((counts @ good + 1) / (counts.sum() + 2))
@@ -188,9 +188,8 @@ def fit(docs: DataFrame, sample: int = 6000) -> Scorer:
     def count(batches):
         total: dict[tuple[int, ...], int] = {}
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in text_slices(texts):
-                kinds, n = np.unique(votes(Facts(texts[lo:hi])), axis=0, return_counts=True)
+            for lo, hi, texts in text_slices(batch.column("text"), 500_000):
+                kinds, n = np.unique(votes(Facts(texts)), axis=0, return_counts=True)
                 for k, c in zip(map(tuple, kinds.tolist()), n.tolist(), strict=True):
                     total[k] = total.get(k, 0) + c
         if total:
@@ -206,9 +205,8 @@ def fit(docs: DataFrame, sample: int = 6000) -> Scorer:
 
     def learn(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in text_slices(texts):
-                f = Facts(texts[lo:hi])
+            for lo, hi, texts in text_slices(batch.column("text"), 500_000):
+                f = Facts(texts)
                 y = np.array([posterior.get(tuple(v), 0.5) for v in votes(f).tolist()])
                 text, bucket, value = features(f)
                 cuts = np.searchsorted(text, np.arange(hi - lo + 1))
@@ -228,9 +226,8 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in text_slices(texts):
-                s = scores(texts[lo:hi], shared.value)
+            for lo, hi, texts in text_slices(batch.column("text"), 500_000):
+                s = scores(texts, shared.value)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(s), pa.array(s >= 0.5)], ["doc_id", "score", "accepted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, accepted boolean")
@@ -242,8 +239,7 @@ def keep_accepted(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in text_slices(texts):
-                yield batch.slice(lo, hi - lo).filter(pa.array(scores(texts[lo:hi], shared.value) >= 0.5))
+            for lo, hi, texts in text_slices(batch.column("text"), 500_000):
+                yield batch.slice(lo, hi - lo).filter(pa.array(scores(texts, shared.value) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -108,11 +108,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         coder = library_coder(tokenizer, "blanks")
         part, base, held, doc_ids, sizes, ids = 0, 0, 0, [], [], []
         for batch in batches:
-            texts, own = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            own = batch.column("doc_id").to_pylist()
             if own:
                 part = batch.column("part")[0].as_py()
-            for lo, hi in text_slices(texts):
-                x, n = with_end(*coder.encode(texts[lo:hi]), end_id)
+            for lo, hi, texts in text_slices(batch.column("text")):
+                x, n = with_end(*coder.encode(texts), end_id)
                 ids.append(x)
                 sizes.append(n)
                 doc_ids += own[lo:hi]
