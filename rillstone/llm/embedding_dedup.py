@@ -76,13 +76,23 @@ class CoverTree:
         return len(self.lo) - 1
 
     def _net(self, rows: np.ndarray, r: float) -> list[np.ndarray]:
-        """Parts around greedily chosen rows that are more than r apart."""
-        parts = []
+        """Parts around greedily chosen rows that are more than r apart; each row goes
+        to the first that covers it. Candidates are taken 256 at a time."""
+        parts, x = [], self.x[rows]
         while len(rows):
-            near = 2 - 2 * (self.x[rows] @ self.x[rows[0]]) <= r * r
-            near[0] = True
-            parts.append(rows[near])
-            rows = rows[~near]
+            near = 2 - 2 * (x @ x[:256].T) <= r * r
+            covered, take = np.zeros(near.shape[1], bool), []
+            for j in range(len(covered)):
+                if not covered[j]:
+                    take.append(j)
+                    covered |= near[: len(covered), j]
+            near = near[:, take]
+            near[take, np.arange(len(take))] = True
+            first = near.argmax(1)
+            done = near[np.arange(len(rows)), first]
+            order = np.flatnonzero(done)[np.argsort(first[done], kind="stable")]
+            parts += np.split(rows[order], np.cumsum(np.bincount(first[done], minlength=len(take)))[:-1])
+            rows, x = rows[~done], x[~done]
         return parts
 
     def rows(self, node: int) -> np.ndarray:
@@ -98,7 +108,8 @@ def linked(home: np.ndarray, every: np.ndarray, sizes: np.ndarray, threshold: fl
     if not len(home) or not len(every):
         return counts, np.empty(0, np.int64), np.empty(0, np.int64)
     eps = np.sqrt(max(0.0, 2 - 2 * threshold))
-    a, b = CoverTree(home), CoverTree(every)
+    a = CoverTree(home)
+    b = a if home.shape == every.shape and np.array_equal(home, every) else CoverTree(every)
     todo = [(0, 0)]
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
@@ -143,7 +154,7 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 2048, sample: int = 4096, owner: str = "") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 8192, sample: int = 4096, owner: str = "") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding,
     label). `sample` bounds the rows, and `sample / 8` the pivots, that the driver sees."""
 
@@ -208,6 +219,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 20
     as_any = every.select("label", "dim", "cell", F.col("other").alias("i"), F.col("salt").alias("j"), "k", "size", "v", F.lit(False).alias("home"))
 
     def pairs(table: pa.Table) -> pa.Table:
+        table = table.sort_by("k")  # equal sides then share one tree
         home = table.column("home").to_numpy(zero_copy_only=False)
         if not home.any():
             return pa.table({"k": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "l": pa.array([], pa.string())})
