@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import settle
 from .vectors import farthest_first, finite_rows
 
-PAGE = 32
+PAGE = 128
 FAR = np.iinfo(np.int64).max
 
 
@@ -116,9 +116,14 @@ class MTree:
             if kids is None:
                 score = _scores(self.x[rows], q)
                 least = best[0][0] if len(best) == k else floor
-                for s, i in zip(score.tolist(), rows.tolist(), strict=True):
-                    if (least is None or s >= least) and ids[i] != own:
-                        item = (s, -int(ids[i]))
+                if least is not None:
+                    rows, score = rows[score >= least], score[score >= least]
+                if len(rows) > 4 * k:  # what is below the page's own k-th is not among the best
+                    cut = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+                    rows, score = rows[score >= cut], score[score >= cut]
+                for s, i in zip(score.tolist(), ids[rows].tolist(), strict=True):
+                    if i != own:
+                        item = (s, -i)
                         if len(best) < k:
                             heapq.heappush(best, item)
                         elif item > best[0]:
@@ -126,8 +131,9 @@ class MTree:
                 continue
             d = np.sqrt(np.maximum(0.0, qq + self.norm2 - 2 * (self.x[rows] @ q)))
             low = np.maximum(0.0, d - radii[open_])
+            places = np.flatnonzero(open_)
             for j in np.flatnonzero(low <= most * (1 + 1e-9) + 1e-9).tolist():
-                heapq.heappush(todo, (float(low[j]), kids[int(np.flatnonzero(open_)[j])], float(d[j])))
+                heapq.heappush(todo, (float(low[j]), kids[int(places[j])], float(d[j])))
         return sorted(best, reverse=True)
 
 
