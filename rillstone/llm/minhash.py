@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: i
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([raw[e - int(n) * 8 : e] for e, n in zip(ends, sizes, strict=True)], pa.binary())], ["id", "set"])
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        involved = pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct()
         wanted = F.broadcast(involved) if pairs.count() * 2 <= BROADCAST_IDS else involved
         return settle(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(full_sets, "id long, set binary").where("length(set) > 0"), "sets", owner)
 
