@@ -114,20 +114,20 @@ class MTree:
             if not len(rows):
                 continue
             if kids is None:
+                rows = rows[ids[rows] != own]
                 score = _scores(self.x[rows], q)
                 least = best[0][0] if len(best) == k else floor
                 if least is not None:
                     rows, score = rows[score >= least], score[score >= least]
                 if len(rows) > 4 * k:  # what is below the page's own k-th is not among the best
-                    cut = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+                    cut = np.partition(score, len(score) - k)[len(score) - k]
                     rows, score = rows[score >= cut], score[score >= cut]
                 for s, i in zip(score.tolist(), ids[rows].tolist(), strict=True):
-                    if i != own:
-                        item = (s, -i)
-                        if len(best) < k:
-                            heapq.heappush(best, item)
-                        elif item > best[0]:
-                            heapq.heapreplace(best, item)
+                    item = (s, -i)
+                    if len(best) < k:
+                        heapq.heappush(best, item)
+                    elif item > best[0]:
+                        heapq.heapreplace(best, item)
                 continue
             d = np.sqrt(np.maximum(0.0, qq + self.norm2 - 2 * (self.x[rows] @ q)))
             low = np.maximum(0.0, d - radii[open_])

@@ -217,6 +217,18 @@ def test_topk_against_brute_force(spark, block, query_block):
     assert topk_search.top_inner_products(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [60, 200])
+def test_topk_repeated_query_row(size):
+    """Rows of the query's own id do not push out a page's true neighbours."""
+    rng = np.random.default_rng(size)
+    x = np.floor(1024 * rng.normal(size=(size, 4)))
+    ids = np.arange(1, size + 1)
+    x[:30], ids[:30] = 3 * np.abs(x).max(), 100_000
+    tree = topk_search.MTree(x, float(np.sqrt((x * x).sum(1).max())))
+    want = sorted(((int(s), -int(i)) for s, i in zip(x @ x[0], ids, strict=True) if i != 100_000), reverse=True)[:10]
+    assert tree.search(x[0], 100_000, ids, 10, None) == want
+
+
 def test_topk_large_numbers():
     big = np.array([[2.0**40, 1.0], [2.0**20, 3.0]])
     with pytest.raises(OverflowError):
