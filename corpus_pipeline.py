@@ -32,9 +32,9 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated chunks of lines; one with nothing left goes."""
+    """Documents without repeated chunks and passages of lines; one with nothing left goes."""
     _start(spark)
-    return line_dedup.dedup_lines(docs, OWNER).where("text <> ''")
+    return line_dedup.dedup_lines(docs, OWNER, passages=True).where("text <> ''")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

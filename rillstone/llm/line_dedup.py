@@ -10,6 +10,15 @@ meet by a 128-bit hash, and each group must have equal least and greatest bytes
 are combined before the shuffle, so a chunk that a third of all texts have moves once
 for each task). Groups that differ are left alone.
 
+Chunks leave what lies before the first and behind the last border in a passage. With
+`passages` (the pipeline; the registered op4 keeps to its SQL) every passage of lines
+with `LONG_LINE` words in all that occurs earlier goes, too: from each line onwards, and
+up to each line, the shortest run of lines with `LONG_LINE` words depends on the passage
+alone, and these runs together cover it. Runs meet by a 64-bit hash; those that occur
+more than once count as equal by a 256-bit BLAKE2 of their bytes. All but the first (by
+doc_id, hash of the text, line) go; of one that overlaps the first in the same text, the
+lines behind the first. So each line that goes has an equal one before it that stays.
+
 Defined results: null texts stay null; empty texts stay empty; a text all of whose
 chunks are removed becomes empty; repeated rows (same doc_id and text) share the place
 of a first occurrence and so keep their chunks, as do null doc_ids among each other
@@ -18,18 +27,23 @@ of a first occurrence and so keep their chunks, as do null doc_ids among each ot
 
 from __future__ import annotations
 
-from hashlib import md5
+from hashlib import blake2b, md5
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .chunks import text_slices
 from .common import settle
+from .wordhash import _SPACE, _pow, mix, span_hashes
 
 WINDOW, MODULUS, LONG_LINE = 2, 4, 50
 #: Up to so many texts and chunk numbers to remove (about 40 bytes each) are broadcast.
 BROADCAST_MARKS = 1_000_000
+#: A run's first line times this, plus its last line.
+PLACE = 1 << 32
 
 
 def chunks(text: str) -> list[tuple[int, str, bool]]:
@@ -89,15 +103,96 @@ def repeated(docs: DataFrame, owner: str = "") -> DataFrame:
     return settle(gone.groupBy("doc_id", "name").agg(F.collect_set("i").alias("gone")), "gone", owner)
 
 
-def dedup_lines(docs: DataFrame, owner: str = "", stats: bool = False) -> DataFrame:
-    """The rows of docs with repeated chunks removed from text, and n_chars (where docs
-    have it) set to the new length; `stats` adds lines_kept and lines_removed."""
-    gone = repeated(docs, owner)
-    marks = gone.agg(F.count("*") + F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
+def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shortest runs of lines with LONG_LINE words that begin or end at a line: the
+    text, first and last line, and a hash, of each."""
+    parts = [t.encode("utf-8", "replace") + b"\n" for t in texts]
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.flatnonzero(raw == 10)
+    starts = np.concatenate(([0], ends + 1))[: len(ends)]
+    first = np.concatenate(([0], np.searchsorted(ends, np.cumsum([len(p) for p in parts]))))
+    owner = np.repeat(np.arange(len(parts)), np.diff(first))
+    inside = ~_SPACE[raw]
+    inside[1:] &= _SPACE[raw[:-1]]
+    before = np.searchsorted(np.flatnonzero(inside), np.append(starts, len(raw)))
+    line = np.arange(len(ends))
+    to = np.searchsorted(before, before[:-1] + LONG_LINE) - 1
+    since = np.searchsorted(before, before[1:] - LONG_LINE, "right") - 1
+    onwards = np.flatnonzero(to < first[owner + 1])
+    up_to = np.flatnonzero((since >= first[owner]) & (to[since] != line))
+    i, j = np.concatenate((onwards, since[up_to])), np.concatenate((to[onwards], up_to))
+    total = np.zeros(len(line) + 1, np.uint64)
+    h = span_hashes(raw, starts, ends)
+    np.cumsum(mix(h + np.uint64(1)) * _pow[0][: len(line)], out=total[1:])
+    return owner[i], i - first[owner[i]], j - first[owner[i]], mix((total[j + 1] - total[i]) * _pow[1][i])
+
+
+def _run_rows(batches):
+    for batch in batches:
+        for lo, _, texts in text_slices(batch.column("text"), 200_000):
+            own, i, j, h = runs(texts)
+            at = pa.array(lo + own)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("name").take(at), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "name", "i", "j", "h"])
+
+
+def _digest_rows(batches):
+    for batch in batches:
+        for lo, hi, texts in text_slices(batch.column("text"), 500_000):
+            part, digest = batch.slice(lo, hi - lo), []
+            size = np.diff(part.column("runs").offsets.to_numpy())
+            own = part.column("runs").flatten().to_numpy(zero_copy_only=False)
+            i, j = (own // PLACE).astype(np.int32), (own % PLACE).astype(np.int32)
+            places, at = list(zip(i.tolist(), j.tolist(), strict=True)), 0
+            for text, n in zip(texts, size.tolist(), strict=True):
+                lines = text.encode("utf-8", "replace").split(b"\n")
+                digest += [blake2b(b"\n".join(lines[a : b + 1]), digest_size=32).digest() for a, b in places[at : at + n]]
+                at += n
+            row = pa.array(np.repeat(np.arange(hi - lo), size))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), part.column("name").take(row), pa.array(i), pa.array(j), pa.array(digest, pa.binary())], ["doc_id", "name", "i", "j", "digest"])
+
+
+def _place(i, j):
+    return (F.lit(PLACE) * i + j).alias("place")
+
+
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= BROADCAST_MARKS else rows
+
+
+def _same_text(a: str, b: str):
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.name") == F.col(f"{b}.name"))
+
+
+def repeated_runs(docs: DataFrame, owner: str = "") -> DataFrame:
+    """doc_id, name (hash of the text), runs (array of PLACE numbers of lines to remove)."""
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("name"), "text")
+    every = settle(texts.mapInArrow(_run_rows, "doc_id long, name long, i int, j int, h long"), "runs", owner)
+    often = settle(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often", owner)
+    hits = every.join(_few(often, often.count()), "h", "left_semi")
+    by_text = settle(hits.groupBy("doc_id", "name").agg(F.collect_set(_place(F.col("i"), F.col("j"))).alias("runs")), "hits", owner)
+    n = by_text.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
+    with_text = texts.alias("t").join(_few(by_text, n).alias("r"), _same_text("t", "r")).select("t.*", "r.runs")
+    sure = settle(with_text.mapInArrow(_digest_rows, "doc_id long, name long, i int, j int, digest binary"), "sure", owner)
+    groups = settle(sure.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "name", "i", "j")).alias("first")).where("n > 1").select("digest", "first"), "firsts", owner)
+    later = sure.join(_few(groups, 4 * groups.count()), "digest").where(~F.struct("doc_id", "name", "i", "j").eqNullSafe(F.col("first")))
+    home = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("name") == F.col("first.name"))
+    since = F.when(home, F.greatest("i", F.col("first.j") + 1)).otherwise(F.col("i"))
+    return settle(later.groupBy("doc_id", "name").agg(F.collect_set(_place(since, F.col("j"))).alias("runs")), "gone-runs", owner)
+
+
+def dedup_lines(docs: DataFrame, owner: str = "", stats: bool = False, passages: bool = False) -> DataFrame:
+    """The rows of docs with repeated chunks (and `passages`) removed from text, and
+    n_chars (where docs have it) set to the new length; `stats` adds lines_kept and
+    lines_removed."""
+    gone = repeated(docs, owner).withColumn("runs", F.array().cast("array<long>"))
+    if passages:
+        both = gone.union(repeated_runs(docs, owner).select("doc_id", "name", F.array().cast("array<int>").alias("gone"), "runs"))
+        gone = settle(both.groupBy("doc_id", "name").agg(F.flatten(F.collect_list("gone")).alias("gone"), F.flatten(F.collect_list("runs")).alias("runs")), "marks", owner)
+    marks = gone.agg(F.count("*") + F.coalesce(F.sum(F.size("gone") + F.size("runs")), F.lit(0))).first()[0]
     # texts with removals are few; up to this size they need not move the others
     if marks <= BROADCAST_MARKS:
         gone = F.broadcast(gone)
-    joined = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.name")), "left").select("d.*", F.col("g.gone").alias("__gone"))
+    joined = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.name")), "left").select("d.*", F.col("g.gone").alias("__gone"), F.col("g.runs").alias("__runs"))
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, *([T.StructField("lines_kept", T.LongType()), T.StructField("lines_removed", T.LongType())] if stats else [])])
 
@@ -105,16 +200,23 @@ def dedup_lines(docs: DataFrame, owner: str = "", stats: bool = False) -> DataFr
         for batch in batches:
             texts, marks = batch.column("text").to_pylist(), batch.column("__gone").to_pylist()
             new, kept, removed = [], [], []
-            for text, out in zip(texts, marks, strict=True):
+            for text, out, places in zip(texts, marks, batch.column("__runs").to_pylist(), strict=True):
                 if out is None:
                     new.append(text)
                     kept.append(text.count("\n") + 1 if text is not None else 0)
                     removed.append(0)
                     continue
-                drop, own = set(out), chunks(text)
-                new.append("\n".join(c for i, (_, c, _) in enumerate(own) if i not in drop))
-                kept.append(sum(n for i, (n, _, _) in enumerate(own) if i not in drop))
-                removed.append(sum(n for i, (n, _, _) in enumerate(own) if i in drop))
+                drop, lines, at = set(out), text.split("\n"), 0
+                stay = np.ones(len(lines), bool)
+                for i, (n, _, _) in enumerate(chunks(text)):
+                    if i in drop:
+                        stay[at : at + n] = False
+                    at += n
+                for place in places:
+                    stay[place // PLACE : place % PLACE + 1] = False
+                new.append("\n".join(line for line, own in zip(lines, stay.tolist(), strict=True) if own))
+                kept.append(int(stay.sum()))
+                removed.append(len(lines) - kept[-1])
             columns = []
             for c in names:
                 if c == "text":

@@ -305,6 +305,47 @@ def test_line_dedup_repeated_rows(spark):
     assert got[:2] == [t, t] and all(len(x) < len(t) for x in got[2:])
 
 
+def brute_passages(texts):
+    """Lines left when every line goes that lies in a later copy of lines of 50 words."""
+    first, out = {}, {}
+    for d, t in texts:
+        lines = t.split("\n")
+        size = [len(x.split()) for x in lines]
+        stay = [True] * len(lines)
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                if sum(size[i : j + 1]) >= 50:
+                    at = first.setdefault(tuple(lines[i : j + 1]), (d, i, j))
+                    if at != (d, i, j):
+                        for k in range(max(i, at[2] + 1) if at[0] == d else i, j + 1):
+                            stay[k] = False
+        out[d] = [x for x, own in zip(lines, stay, strict=True) if own]
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_line_dedup_short_passages(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_MARKS", broadcast)
+    rng = random.Random(9)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [[line(-(-51 // n) + rng.randrange(12)) for _ in range(n)] for n in (2, 3, 4, 5, 6) for _ in range(6)]
+    passages += [["", line(40), "", line(12), ""], ["x y"] * 80]
+    texts = []
+    for i in range(90):
+        body = [line(rng.randrange(3, 20)) for _ in range(rng.randrange(1, 4))]
+        texts.append((i, "\n".join(body + passages[i % len(passages)] + [line(rng.randrange(3, 20))])))
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, texts), stats=True, passages=True).collect()}
+    for p in passages[:-2]:
+        assert all(sum(x in r.text.split("\n") for r in rows.values()) == 1 for x in p)
+    brute = brute_passages(texts)
+    for d, t in texts:
+        left = rows[d].text.split("\n")
+        assert set(left) <= set(brute[d]) and rows[d].lines_kept + rows[d].lines_removed == t.count("\n") + 1
+        assert d % len(passages) == len(passages) - 1 or left == brute[d]
+    before, after = ({x for t in ts for x in t.split("\n")} for ts in ([t for _, t in texts], [r.text for r in rows.values()]))
+    assert before == after
+
+
 # language and quality
 
 WORDS = {"en": "the and of with house river walking green stone".split(), "de": "der und mit haus fluss grün stein gehen nicht".split()}
