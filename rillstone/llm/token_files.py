@@ -126,25 +126,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     ordered.mapInArrow(encode, SEGMENTS).write.parquet(path)
 
 
-def read_token_files(spark, path: str, digest_only: bool = False) -> DataFrame:
-    """Documents of a file set: doc_id, start, n_tokens, ids_crc32 and, unless
-    `digest_only`, ids as array<bigint>.
-
-    `start` counts the ids of all earlier documents. Only the totals of the ranges
-    are gathered, one number for each range that the writer made.
-    """
-    files = spark.read.schema(SEGMENTS).parquet(path)
-    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
-    before, at = {}, 0
-    for row in sorted(totals, key=lambda r: r["part"]):
-        before[row["part"]] = at
-        at += row["n"]
+def _decode(before: dict[int, int], digest_only: bool):
+    """Documents of segments, each found by its boundaries in the Elias-Fano code."""
 
     def decode(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 ef = EliasFano(len(r["doc_ids"]), r["ef_bits"], r["ef_low"], r["ef_high"], r["ef_select"])
-                ends = ef.all()
+                ends = np.fromiter((ef.get(i) for i in range(ef.n)), np.int64, ef.n)
                 starts = np.concatenate(([0], ends[:-1]))
                 wide = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
                 raw = memoryview(wide.tobytes())
@@ -155,7 +144,24 @@ def read_token_files(spark, path: str, digest_only: bool = False) -> DataFrame:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return files.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ("" if digest_only else ", ids array<bigint>"))
+    return decode
+
+
+def read_token_files(spark, path: str, digest_only: bool = False) -> DataFrame:
+    """Documents of a file set: doc_id, start, n_tokens, ids_crc32 and, unless
+    `digest_only`, ids as array<bigint>.
+
+    `start` counts the ids of all earlier documents. Only the totals of the ranges
+    are gathered, one number for each range that the writer made.
+    """
+    files = spark.read.schema(SEGMENTS).parquet(path)
+    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
+    before, at = {}, 0
+    for row in sorted(totals, key=lambda r: r["part"]):
+        before[row["part"]] = at
+        at += row["n"]
+
+    return files.mapInArrow(_decode(before, digest_only), "doc_id long, start long, n_tokens long, ids_crc32 long" + ("" if digest_only else ", ids array<bigint>"))
 
 
 def op1_query(spark, docs: DataFrame, tokenizer: str) -> DataFrame:

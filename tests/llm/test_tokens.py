@@ -10,6 +10,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -158,3 +159,16 @@ def test_patterns_use_up_demand():
         demand = np.bincount(rng.integers(0, len(weight), n), minlength=len(weight))
         made, count = packing.patterns(demand, weight, 64)
         assert (count @ made == demand).all() and (made @ weight <= 64).all()
+
+
+def test_reader_finds_boundaries_by_select(monkeypatch):
+    """The reader takes each boundary through the select structure, not a full decode."""
+    monkeypatch.setattr(token_files.EliasFano, "all", None)
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(0, 40, 700)
+    ids = rng.integers(0, 1 << 16, sizes.sum())
+    segment = pa.RecordBatch.from_pylist([token_files._segment(1, 7, 2, list(range(700)), ids, sizes)], token_files._ARROW)
+    got = next(token_files._decode({1: 100}, False)([segment])).to_pydict()
+    starts = np.cumsum(sizes) - sizes
+    assert got["start"] == (starts + 107).tolist() and got["n_tokens"] == sizes.tolist()
+    assert got["ids"] == [ids[a : a + n].tolist() for a, n in zip(starts.tolist(), sizes.tolist())]
