@@ -276,9 +276,8 @@ def negative_samples(spark, d):
 
 @query()
 def pmi_stream(spark, d):
-    """Streaming PMI over the benchmark passages in bounded memory."""
-    lines = text.lines_of(table(spark, d, "benchmark").where("text is not null"), "item_id")
-    return association.fit_pmi(lines, k=1024, log2_width=12, window=5, negatives=5, reservoir=4000, seed=1)
+    """Streaming PMI over the lines of all documents in bounded memory."""
+    return association.fit_pmi(ex.document_lines(spark, d), k=1024, log2_width=12, window=5, negatives=5, reservoir=4000, seed=1)
 
 
 # learners: in these settings each method must equal plain logistic regression

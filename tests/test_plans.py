@@ -53,6 +53,13 @@ def test_query_equals_sql(spark, name):
     assert a == b and a
 
 
+def test_pmi_stream_reads_documents(spark, tmp_path):
+    rows = [(1, "new york is new york\n" * 20), (2, None), (3, "A b  c\n\nd")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["pmi_stream"](spark, str(tmp_path)).collect()
+    assert {r.num_tokens for r in got} == {104} and ("new", "york") in {(r.a, r.b) for r in got}
+
+
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
