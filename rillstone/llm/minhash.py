@@ -23,7 +23,8 @@ A pair with Jaccard 0.8 shares no region with probability (1 - 0.8^4)^28 < 10^-6
 
 Defined results: null or blank texts have an empty set, link with nothing and are kept
 as their own component; repeated rows are one class; rows that share a doc_id are
-judged each by its own text; a null doc_id has a null component, is never a
+judged each by its own text (classes that share their least doc_id get numbers for the
+comparison, and rows go by doc_id and a hash of the text); a null doc_id has a null component, is never a
 representative and stays; further columns are ignored, or kept with `keep_columns`,
 where a row that repeats both doc_id and text stays once.
 """
@@ -94,7 +95,7 @@ def _fingerprints(size: int):
                     names[i] = blake2b(raw[int(ends[i]) - int(sizes[i]) * 8 : int(ends[i])], digest_size=16).digest()
                     forest[i] = sig[row].tobytes()
                     small[i] = (sig[row] & np.uint32(255)).astype(np.uint8).tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(names, pa.binary()), pa.array(forest, pa.binary()), pa.array(small, pa.binary())], ["doc_id", "n_shingles", "name", "sig", "small"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("row").slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(names, pa.binary()), pa.array(forest, pa.binary()), pa.array(small, pa.binary())], ["doc_id", "row", "n_shingles", "name", "sig", "small"])
 
     return run
 
@@ -240,8 +241,11 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: i
     `docs` with all their columns (one row of each component) instead."""
     spark = docs.sparkSession
     least = percent / 100
-    prints = settle(docs.select("doc_id", "text").mapInArrow(_fingerprints(size), "doc_id long, n_shingles long, name binary, sig binary, small binary"), "prints", owner)
-    classes = settle(prints.where("name is not null and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("small").alias("small")), "classes", owner)
+    prints = settle(docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(_fingerprints(size), "doc_id long, row long, n_shingles long, name binary, sig binary, small binary"), "prints", owner)
+    classes = settle(prints.where("name is not null and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("small").alias("small")).withColumn("least", F.col("rep")), "classes", owner)
+    n_classes, n_reps = classes.agg(F.count("*"), F.count_distinct("rep")).first()
+    if n_classes > n_reps:  # doc_ids with several texts: a number for each class instead
+        classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()), "numbered", owner)
 
     # with few rows a partition the borders are many; a region needs no more tasks
     parts = shuffle_parts(spark)
@@ -278,12 +282,18 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: i
         for batch in batches:
             for lo, hi, sets, sizes in _sets(batch.column("text"), size):
                 raw, ends = memoryview(sets.tobytes()), (np.cumsum(sizes) * 8).tolist()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([raw[e - int(n) * 8 : e] for e, n in zip(ends, sizes, strict=True)], pa.binary())], ["id", "set"])
+                own = [raw[e - int(n) * 8 : e] for e, n in zip(ends, sizes, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([blake2b(x, digest_size=16).digest() for x in own], pa.binary()), pa.array(own, pa.binary())], ["least", "name", "set"])
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        involved = pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct()
-        wanted = F.broadcast(involved) if pairs.count() * 2 <= BROADCAST_IDS else involved
-        return settle(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(full_sets, "id long, set binary").where("length(set) > 0"), "sets", owner)
+        involved = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+        few = pairs.count() * 2 <= BROADCAST_IDS
+        wanted = classes.select("rep", "least", "name").join(F.broadcast(involved) if few else involved, "rep")
+        if few:
+            wanted = F.broadcast(wanted)
+        mine = docs.select(F.col("doc_id").alias("least"), "text").join(wanted.select("least"), "least", "left_semi").select(F.col("least").alias("doc_id"), "text")
+        sets = mine.mapInArrow(full_sets, "least long, name binary, set binary").where("length(set) > 0")
+        return settle(sets.join(wanted, ["least", "name"]).select(F.col("rep").alias("id"), "set"), "sets", owner)
 
     def linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
         left, right = full.select(F.col("id").alias("a"), F.col("set").alias("x")), full.select(F.col("id").alias("b"), F.col("set").alias("y"))
@@ -320,14 +330,18 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: i
             sides = with_sets.where("comp <> largest").select("family", F.col("salt").alias("i"), F.col("other").alias("j"), "rep", "comp", "set", F.lit(True).alias("home")).union(with_sets.select("family", F.col("other").alias("i"), F.col("salt").alias("j"), "rep", "comp", "set", F.lit(False).alias("home")))
             more = settle(sides.groupBy("family", "i", "j").applyInArrow(_across(percent), "a long, b long"), "more", owner)
             comp = components(more.union(comp.select("node", "component")), owner)
-    rep = classes.select("name", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("name", F.coalesce("component", "rep").alias("of"))
+    rep = classes.select("name", "rep", "least").join(comp, F.col("rep") == F.col("node"), "left").select("name", "least", F.coalesce("component", "rep").alias("of"))
+    if n_classes > n_reps:
+        rep = settle(rep, "named", owner)
+        rep = rep.join(rep.groupBy("of").agg(F.min("least").alias("first")), "of").select("name", F.col("first").alias("of"))
     # a row's class may hold smaller ids of documents that have further texts
-    out = prints.select("doc_id", "n_shingles", "name").join(rep, "name", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id")).alias("component_id"))
+    out = prints.select("doc_id", "row", "n_shingles", "name").join(rep.select("name", "of"), "name", "left").select("doc_id", "row", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id")).alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     if not keep_columns:
-        return out
-    gone = settle(out.where("not kept").select("doc_id").distinct(), "gone", owner)
-    rest = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+        return out.drop("row")
+    gone = settle(out.where("not kept").select("doc_id", "row").distinct(), "gone", owner)
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS // 2 else gone
+    rest = docs.alias("d").join(few.alias("g"), (F.col("d.doc_id") == F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.row")), "left_anti")
     twice = settle(prints.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice", owner)
     n = twice.count()
     if n:  # rows that repeat a doc_id and its text count once, too

@@ -107,6 +107,16 @@ def test_minhash_odd_rows(spark):
     assert minhash.near_duplicates(same.limit(0)).count() == 0
 
 
+def test_minhash_colliding_doc_ids(spark):
+    """Of rows that share a doc_id each is judged by its own text."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    texts = [(1, a), (5, a + " x"), (5, b), (6, b + " y"), (7, c), (7, c + " z"), (8, c)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs(spark, texts)).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (6, 5, False), (7, 7, True), (7, 7, True), (8, 7, False)]
+    kept = minhash.near_duplicates(docs(spark, texts), keep_columns=True).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (5, b), (7, c), (7, c + " z")]
+
+
 @pytest.mark.parametrize("block", [1024, 50])
 def test_minhash_crowded_region(spark, monkeypatch, block):
     """A hub that links with 200 texts which don't link with each other."""
