@@ -25,7 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .chunks import ChunkCoder, claim, split_blanks, text_slices
+from .chunks import ChunkCoder, split_blanks, text_slices
+from .worker import kernel
 
 LONGEST = 256
 NONE = np.uint32(0xFFFFFFFF)
@@ -177,12 +178,15 @@ class ByteBpe:
             offer(i)
         return np.array([x for x in ids if x != gone], np.uint32)
 
-    def encode_chunks(self, chunks: Sequence[str]) -> list[np.ndarray]:
-        """Ids of strings, each cut by the pattern; equal pieces are encoded once."""
+    def encode_chunks(self, chunks: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings, each cut by the pattern, one behind the other, and the number
+        of each; equal pieces are encoded once."""
         cut = [self.pattern.findall(c) for c in chunks]
         pieces = list(dict.fromkeys(p for own in cut for p in own))
         ids = dict(zip(pieces, self.encode_pieces([p.encode("utf-8", "replace") for p in pieces]), strict=True))
-        return [ids[own[0]] if len(own) == 1 else np.concatenate([ids[p] for p in own]) if own else np.empty(0, np.uint32) for own in cut]
+        flat = [ids[p] for own in cut for p in own]
+        sizes = np.array([sum(len(ids[p]) for p in own) for own in cut], np.int64)
+        return np.concatenate(flat) if flat else np.empty(0, np.uint32), sizes
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         return self.coder.encode(texts)
@@ -197,8 +201,11 @@ class ByteBpe:
 _loaded: dict[tuple[str, str], ByteBpe] = {}
 
 
+def drop_loaded() -> None:
+    _loaded.clear()
+
+
 def loaded(ranks_path: str, pattern: str) -> ByteBpe:
-    claim((ranks_path, pattern), lambda: _loaded.pop((ranks_path, pattern), None))
     if (ranks_path, pattern) not in _loaded:
         _loaded[ranks_path, pattern] = ByteBpe(read_ranks(ranks_path), pattern)
     return _loaded[ranks_path, pattern]
@@ -216,7 +223,7 @@ def encode_table(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 raw, ends = ids.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(sizes))).tolist()
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), pa.array([raw[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(kernel(encode, "byte_bpe", drop_loaded), "doc_id long, ids binary")
 
 
 def decode_table(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -229,7 +236,7 @@ def decode_table(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame
             for i, x in enumerate(raw):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.array([x], pa.binary()), pa.array([bpe.decode(np.frombuffer(x, "<u4"))], pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(kernel(decode, "byte_bpe", drop_loaded), "doc_id long, ids binary, decoded binary")
 
 
 def digest_table(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -246,4 +253,4 @@ def digest_table(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 spans = list(zip(ends, ends[1:], strict=False))
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), pa.array(sizes), pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in spans], pa.string()), pa.array([hashlib.sha256(bpe.decode(np.frombuffer(raw[4 * a : 4 * b], "<u4"))).hexdigest() for a, b in spans], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(kernel(run, "byte_bpe", drop_loaded), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -43,53 +43,66 @@ def split_words(text: str) -> list[str] | None:
     return text.split()
 
 
+class Lexicon(dict):
+    """Numbers of chunks, by first sight. `new` lists what has come since the last
+    `settle`, which keeps of it what there is room for and forgets the rest."""
+
+    def __init__(self, cap: int, longest: int = 256):
+        super().__init__()
+        self.cap, self.longest, self.n = cap, longest, 0
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        code = self.n
+        self.n += 1
+        self.new.append(chunk)
+        self[chunk] = code
+        return code
+
+    def settle(self) -> list[int]:
+        """Which of `new` stay; they are numbered anew, in order."""
+        new, first = self.new, self.n - len(self.new)
+        room = max(self.cap - first, 0)
+        keep = [i for i, chunk in enumerate(new) if len(chunk) <= self.longest][:room]
+        if len(keep) < len(new):
+            for chunk in new:
+                del self[chunk]
+            self.update((new[i], first + j) for j, i in enumerate(keep))
+        self.n, self.new = first + len(keep), []
+        return keep
+
+
 class ChunkCoder:
     """Encodes texts by distinct chunks.
 
+    `encode` gives the ids of chunks, one behind the other, and the number of each.
     The first `cap` chunks are kept; later ones are encoded once for each call and
     forgotten. Where over a third of a call's chunks are not kept, the texts have
     changed and the cache starts anew. So memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[Sequence[str]], list[Sequence[int]]], split: Callable[[str], list[str] | None], cap: int = 300_000, longest: int = 256):
-        self.encode_many, self.split, self.cap, self.longest = encode, split, cap, longest
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], split: Callable[[str], list[str] | None], cap: int = 500_000):
+        self.encode_many, self.split, self.cap = encode, split, cap
         self.reset()
 
     def reset(self) -> None:
-        coder = self
-        self.new: list[str] = []
-        self.n = 0
-
-        class Codes(dict):
-            def __missing__(self, chunk: str) -> int:
-                code = coder.n
-                coder.n += 1
-                coder.new.append(chunk)
-                self[chunk] = code
-                return code
-
-        self.codes = Codes()
-        self.kept = self.used = 0
+        self.codes = Lexicon(self.cap)
+        self.used = 0
         self.flat = np.empty(1 << 16, np.uint32)
         self.starts = np.empty(1 << 14, np.int64)
         self.sizes = np.empty(1 << 14, np.int64)
 
     def _forget(self) -> None:
         """Keep of this call's new chunks what there is room for."""
-        first, base = self.n - len(self.new), self.base
-        keep = [i for i, chunk in enumerate(self.new) if len(chunk) <= self.longest][: max(self.cap - self.kept, 0)]
-        for chunk in self.new:
-            del self.codes[chunk]
-        self.codes.update((self.new[i], self.kept + j) for j, i in enumerate(keep))
+        first, base = self.codes.n - len(self.codes.new), self.base
+        keep = self.codes.settle()
         rows = np.array(keep, np.int64) + first
         sizes = self.sizes[rows]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(keep) else 0
         self.flat[base : base + total] = self.flat[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(total)]
         self.starts[first : first + len(keep)], self.sizes[first : first + len(keep)] = base + ends - sizes, sizes
-        self.n = self.kept = first + len(keep)
         self.used = base + total
-        self.new = []
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -100,17 +113,17 @@ class ChunkCoder:
         return b
 
     def _learn(self) -> None:
-        first = self.n - len(self.new)
-        for lo in range(0, len(self.new), 20_000):
-            ids = self.encode_many(self.new[lo : lo + 20_000])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            at, total = first + lo, int(sizes.sum())
+        new = self.codes.new
+        first = self.codes.n - len(new)
+        for lo in range(0, len(new), 20_000):
+            ids, sizes = self.encode_many(new[lo : lo + 20_000])
+            at, total = first + lo, len(ids)
             self.flat = self._room(self.flat, self.used + total)
-            self.starts = self._room(self.starts, at + len(ids))
-            self.sizes = self._room(self.sizes, at + len(ids))
-            self.flat[self.used : self.used + total] = np.concatenate(ids) if isinstance(ids[0], np.ndarray) else np.fromiter(chain.from_iterable(ids), np.uint32, total)
-            self.sizes[at : at + len(ids)] = sizes
-            self.starts[at : at + len(ids)] = self.used + np.cumsum(sizes) - sizes
+            self.starts = self._room(self.starts, at + len(sizes))
+            self.sizes = self._room(self.sizes, at + len(sizes))
+            self.flat[self.used : self.used + total] = ids
+            self.sizes[at : at + len(sizes)] = sizes
+            self.starts[at : at + len(sizes)] = self.used + np.cumsum(sizes) - sizes
             self.used += total
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,15 +136,16 @@ class ChunkCoder:
                 own = [text]
             chunks += own
             counts[i] = len(own)
+        kept = self.codes.n
         codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
         self.base = self.used
-        if self.new:
+        if self.codes.new:
             self._learn()
         sizes = self.sizes[codes]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.flat[np.repeat(self.starts[codes] - ends[:-1], sizes) + np.arange(ends[-1])]
-        if self.new:
-            stale = self.kept >= self.cap and 3 * np.count_nonzero(codes >= self.kept) > len(codes)
+        if self.codes.new:
+            stale = kept >= self.cap and 3 * np.count_nonzero(codes >= kept) > len(codes)
             self.reset() if stale else self._forget()
         return ids, np.diff(ends[np.concatenate(([0], np.cumsum(counts)))])
 
@@ -148,38 +162,75 @@ def text_slices(column: pa.Array, most: int = 1_000_000):
         lo = hi
 
 
-_holder: list[tuple[object, Callable[[], object]]] = []
+#: What the libraries' patterns keep apart from a word before and behind it, and words
+#: (with a blank before them or none) that are followed by it, by kind.
+_APART = {"blanks": "\n", "words": " \x01 "}
+_WORDS = {"blanks": re.compile(r"(?: ?\S+\n)+"), "words": re.compile(r"(?:[^\s\x01]+ \x01 )+")}
 
 
-def claim(key: object, drop: Callable[[], object]) -> None:
-    """Only one operator's caches live in a worker: when another claims, `drop` is
-    called. Workers serve many stages, whose caches would else add up."""
-    if _holder and _holder[0][0] != key:
-        _holder.pop()[1]()
-    if not _holder:
-        _holder.append((key, drop))
+class _Library:
+    """Encodes chunks with a file of the tokenizers library, words many at a time."""
 
-
-_coders: dict[tuple[str, str], ChunkCoder] = {}
-
-
-def library_coder(path: str, kind: str) -> ChunkCoder:
-    """The process's coder over a file of the tokenizers library; kind: blanks or words."""
-    claim((path, kind), lambda: _coders.pop((path, kind), None))
-    if (path, kind) not in _coders:
+    def __init__(self, path: str, kind: str, special_as_text: bool):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
-
-        def encode(chunks: Sequence[str]) -> list[Sequence[int]]:
-            return [e.ids for e in tok.encode_batch_fast(list(chunks), add_special_tokens=False)]
-
-        _coders[path, kind] = ChunkCoder(encode, {"blanks": split_blanks, "words": split_words}[kind])
-    return _coders[path, kind]
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = special_as_text
+        self.apart, self.words = _APART[kind], _WORDS[kind]
+        found = self.tok.encode(self.apart, add_special_tokens=False).ids
+        self.border = found[0] if len(found) == 1 else None
+        self.special = [] if special_as_text else [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        split = {"blanks": split_blanks, "words": split_words}[kind]
+        # a text with the string of a special token is encoded whole
+        self.split = lambda text: None if any(s in text for s in self.special) else split(text)
+
+    def _each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words are encoded a hundred at a time with a border behind each, whose id
+        tells them apart; where that fails, each chunk by itself."""
+        if self.border is None:
+            return self._each(chunks)
+        slabs = [chunks[lo : lo + 100] for lo in range(0, len(chunks), 100)]
+        joined = [self.apart.join(x) + self.apart for x in slabs]
+        fit = [bool(self.words.fullmatch(x)) for x in joined]
+        found = iter(self.tok.encode_batch_fast([x for x, ok in zip(joined, fit, strict=True) if ok], add_special_tokens=False))
+        out = []
+        for slab, ok in zip(slabs, fit, strict=True):
+            if ok:
+                ids = np.array(next(found).ids, np.uint32)
+                ends = np.flatnonzero(ids == self.border)
+                if len(ends) == len(slab):
+                    out.append((np.delete(ids, ends), np.diff(ends, prepend=-1) - 1))
+                    continue
+            out.append(self._each(slab))
+        return np.concatenate([x for x, _ in out]), np.concatenate([n for _, n in out])
+
+
+_coders: dict[tuple[str, str, bool], ChunkCoder] = {}
+
+
+def drop_coders() -> None:
+    _coders.clear()
+
+
+def library_coder(path: str, kind: str, special_as_text: bool = False) -> ChunkCoder:
+    """The process's coder over a file of the tokenizers library; kind: blanks or words.
+
+    Strings of special tokens in a text get their ids, as the library does it, unless
+    `special_as_text`. Kernels that use it name it as their caches (`worker.kernel`).
+    """
+    key = path, kind, special_as_text
+    if key not in _coders:
+        own = _Library(*key)
+        _coders[key] = ChunkCoder(own.encode, own.split)
+    return _coders[key]
 
 
 def vocabulary_size(path: str) -> int:

@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import library_coder, text_slices, vocabulary_size, with_end
+from .chunks import drop_coders, library_coder, text_slices, vocabulary_size, with_end
 from .common import settle
+from .worker import kernel
 
 
 def piece_classes(length: int = 4096, unit: int = 8) -> np.ndarray:
@@ -137,7 +138,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int
                 ends = (np.cumsum(size) * width).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc + lo)), pa.array(start), pa.array(size), pa.array(sizes[doc]), pa.array([raw[e - n * width : e] for e, n in zip(ends, size.tolist(), strict=True)], pa.binary()), pa.array(np.full(len(doc), width, np.int32))], ["doc_id", "start", "length", "doc_tokens", "ids", "width"])
 
-    pieces = docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary, width int")
+    pieces = docs.select("doc_id", "text").mapInArrow(kernel(cut, "coders", drop_coders), "doc_id long, start long, length long, doc_tokens long, ids binary, width int")
     return settle(pieces.withColumn("part", F.spark_partition_id()), "pieces", owner)
 
 
@@ -177,7 +178,7 @@ def assign(pieces: DataFrame, length: int = 4096, unit: int = 8) -> DataFrame:
                 slot[own] = at[p] + (rank[own] - starts[p]) % each[p]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "doc_id", "start", "length", "doc_tokens", "own")), pa.array(seq), pa.array(slot)], ["part", "doc_id", "start", "length", "doc_tokens", "own", "sequence_id", "slot"])
 
-    placed = ranked.select("part", "doc_id", "start", "length", "doc_tokens", "own", "kind", "rank").mapInArrow(place, "part int, doc_id long, start long, length long, doc_tokens long, own int, sequence_id long, slot long")
+    placed = ranked.select("part", "doc_id", "start", "length", "doc_tokens", "own", "kind", "rank").mapInArrow(kernel(place), "part int, doc_id long, start long, length long, doc_tokens long, own int, sequence_id long, slot long")
     order = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
 
@@ -190,7 +191,7 @@ def digest(pieces: DataFrame) -> DataFrame:
             crc = [crc32(np.frombuffer(x, f"<u{w}").astype("<u4").tobytes()) for x, w in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "doc_id", "start", "length", "doc_tokens")), pa.array(crc, pa.int64())], ["part", "doc_id", "start", "length", "doc_tokens", "ids_crc32"])
 
-    return pieces.select("part", "doc_id", "start", "length", "doc_tokens", "ids", "width").mapInArrow(run, "part int, doc_id long, start long, length long, doc_tokens long, ids_crc32 long")
+    return pieces.select("part", "doc_id", "start", "length", "doc_tokens", "ids", "width").mapInArrow(kernel(run), "part int, doc_id long, start long, length long, doc_tokens long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, unit: int = 8, owner: str = "") -> DataFrame:

@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import library_coder, text_slices, vocabulary_size, with_end
+from .chunks import drop_coders, library_coder, text_slices, vocabulary_size, with_end
 from .common import scratch, shuffle_parts
+from .worker import kernel
 
 SAMPLE = 256
 
@@ -123,7 +124,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if doc_ids:
             yield pa.RecordBatch.from_pylist([_segment(part, base, width, doc_ids, np.concatenate(ids), np.concatenate(sizes))], _ARROW)
 
-    ordered.mapInArrow(encode, SEGMENTS).write.parquet(path)
+    ordered.mapInArrow(kernel(encode, "coders", drop_coders), SEGMENTS).write.parquet(path)
 
 
 def _decode(before: dict[int, int], digest_only: bool):
@@ -161,7 +162,7 @@ def read_token_files(spark, path: str, digest_only: bool = False) -> DataFrame:
         before[row["part"]] = at
         at += row["n"]
 
-    return files.mapInArrow(_decode(before, digest_only), "doc_id long, start long, n_tokens long, ids_crc32 long" + ("" if digest_only else ", ids array<bigint>"))
+    return files.mapInArrow(kernel(_decode(before, digest_only)), "doc_id long, start long, n_tokens long, ids_crc32 long" + ("" if digest_only else ", ids array<bigint>"))
 
 
 def op1_query(spark, docs: DataFrame, tokenizer: str) -> DataFrame:

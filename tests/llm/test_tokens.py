@@ -25,9 +25,7 @@ ODD = [None, "", " ", "\n\n x", "a" * 700, "it's  fine\t\n ok ", "ΟΔΥΣΣΕΥ
 
 
 def library(name):
-    t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path(name))
 
 
 @pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "blanks"), ("word_bpe_49k.json", "words")])
@@ -41,6 +39,7 @@ def test_chunks_equal_whole_texts(name, kind):
         assert ids.tolist() == [i for w in want for i in w]
 
     same(ODD)
+    same(["a<|endoftext|>", "x <|endoftext|>y z", "<|startoftext|><|endoftext|>", "\x01 \x01a \x01", "a\u0301 \u0308"])
 
     @settings(max_examples=150, deadline=None)
     @given(st.lists(TEXT, max_size=4))
@@ -50,13 +49,26 @@ def test_chunks_equal_whole_texts(name, kind):
     many()
 
 
+def test_special_strings_may_be_text():
+    lib = library("byte_bpe_50k.json")
+    assert library_coder(P.path("byte_bpe_50k.json"), "blanks").encode(["a <|endoftext|>"])[0].tolist()[-1] == 50256
+    lib.encode_special_tokens = True
+    ids, _ = library_coder(P.path("byte_bpe_50k.json"), "blanks", special_as_text=True).encode(["a <|endoftext|> b"])
+    assert ids.tolist() == lib.encode("a <|endoftext|> b", add_special_tokens=False).ids
+
+
 def test_small_cache_forgets_without_changing_ids():
     lib = library("byte_bpe_50k.json")
-    coder = ChunkCoder(lambda c: [e.ids for e in lib.encode_batch(list(c), add_special_tokens=False)], split_blanks, cap=5, longest=8)
-    for text in ["a b c d e f g h", "a b longer-than-eight c q r s", "z y x w v u t", "z y x w v u t a b c"] * 2:
+
+    def encode(chunks):
+        ids = [e.ids for e in lib.encode_batch(list(chunks), add_special_tokens=False)]
+        return np.concatenate([np.array(x, np.uint32) for x in ids]), np.array([len(x) for x in ids])
+
+    coder = ChunkCoder(encode, split_blanks, cap=5)
+    for text in ["a b c d e f g h", "a b longer-than-eight c q r s", "z y x w v u t", "z y x w v u t a b c"] * 3:
         ids, _ = coder.encode([text])
         assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids
-        assert len(coder.codes) <= 5 and coder.kept <= 5
+        assert len(coder.codes) <= 5 and coder.codes.n <= 5
 
 
 def test_byte_bpe_equals_library_and_round_trips():
