@@ -6,13 +6,17 @@ log P(language | word): from the word itself if it is known, else the mean over
 n-grams of the longest order of which any is known. The sums decide; the score is the
 winner's share of a softmax over the sums, scaled to the evidence of 20 words.
 
-Learning counts words of at most `per_language` documents for each language, drawn by
-a hash of doc_id, and keeps the `top_words` and `top_grams` most frequent (ties in
-order), so the model is bounded; prediction covers every whole text without a shuffle.
-
-Defined results: a null text or one without a letter is `und` with score 0; a null
-doc_id is not held out and never learned from; repeated rows are predicted each; with
-nothing to learn from, every text is `und`; further columns are ignored.
+Learning counts every word and n-gram of at most about `per_language` documents for
+each language, drawn by a hash of doc_id and text; that bounds the model. Prediction
+covers every whole text without a shuffle.
+
+Defined results: a null text or one without a letter is `und` with score 0; of
+languages with equal sums the first in order is predicted, also where a text has
+letters but no known n-gram (score: one by the number of languages); a null doc_id is
+not held out and never learned from; repeated rows are predicted each; with nothing to
+learn from, every text is `und`; an empty table gives none; very long texts are read
+whole, in slices of an Arrow batch; further columns are ignored (`keep_sure`: kept);
+more than `LANGUAGES` languages are an error.
 """
 
 from __future__ import annotations
@@ -24,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import claim, text_slices
+from .chunks import Lexicon, text_slices
+from .worker import kernel
 
 ORDERS = (4, 3, 2, 1)
+LANGUAGES = 1000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -54,80 +60,92 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+def evidence(counts: np.ndarray) -> np.ndarray:
+    """log P(language | entry) of entries by languages, from smoothed frequencies."""
+    c = counts + 0.5
+    p = np.log(c / c.sum(0))
+    return p - np.log(np.exp(p).sum(1, keepdims=True))
+
+
 class Model:
-    def __init__(self, langs: list[str], words: dict[str, list[int]], by_order: dict[int, dict[str, list[int]]]):
+    """Rows of evidence for words and n-grams (an n-gram's order is its length)."""
+
+    def __init__(self, langs: list[str], words: dict[str, list[int]], grams: dict[str, list[int]]):
         self.langs = langs
-        self.words = self._evidence(words)
-        self.grams = {n: self._evidence(t) for n, t in by_order.items()}
+        self.words = {w: i for i, w in enumerate(words)}
+        parts = [evidence(np.array(list(words.values()), float))] if words else []
+        self.grams: dict[str, int] = {}
+        for n in ORDERS:
+            own = {g: c for g, c in grams.items() if len(g) == n}
+            if own:
+                first = len(self.words) + len(self.grams)
+                self.grams.update((g, first + i) for i, g in enumerate(own))
+                parts.append(evidence(np.array(list(own.values()), float)))
+        self.table = np.concatenate(parts) if parts else np.zeros((0, len(langs)))
         self.restart()
 
     def __getstate__(self) -> dict:
-        return {"langs": self.langs, "words": self.words, "grams": self.grams}
+        return {"langs": self.langs, "words": self.words, "grams": self.grams, "table": self.table}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.restart()
 
-    def _evidence(self, counts: dict[str, list[int]]) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
-        c = np.array(list(counts.values()), float) + 0.5
-        p = np.log(c / c.sum(0))
-        p -= np.log(np.exp(p).sum(1, keepdims=True))
-        return dict(zip(counts, p, strict=True))
-
-    def restart(self) -> None:
-        model = self
-
-        class Codes(dict):
-            def __missing__(self, chunk: str) -> int:
-                code = model.n
-                model.n += 1
-                model.new.append(chunk)
-                self[chunk] = code
-                return code
-
-        self.codes, self.n, self.new = Codes(), 0, []
-        self.rows = np.empty((1 << 14, len(self.langs) + 1))
-
-    def word(self, w: str) -> np.ndarray:
-        if (e := self.words.get(w)) is not None:
-            return e
+    def restart(self, cap: int = 200_000) -> None:
+        """Forget the sums of chunks; at most `cap` are kept."""
+        self.codes = Lexicon(cap, 200)
+        self.rows = np.zeros((1 << 10, len(self.langs) + 1))
+
+    def places(self, word: str) -> list[int]:
+        """The rows that speak for a word: its own, or those of its longest known n-grams."""
+        if (i := self.words.get(word)) is not None:
+            return [i]
+        known = self.grams
         for n in ORDERS:
-            known = self.grams.get(n, {})
-            found = [e for g in grams(w, n) if (e := known.get(g)) is not None]
+            found = [i for g in grams(word, n) if (i := known.get(g)) is not None]
             if found:
-                return np.mean(found, 0) if len(found) > 1 else found[0]
-        return np.zeros(len(self.langs))
-
-    def predict(self, texts: list[str | None], cap: int = 400_000) -> tuple[list[str], np.ndarray]:
+                return found
+        return []
+
+    def sums(self, chunks: list[str]) -> np.ndarray:
+        """For each chunk its words' evidence by language, then its number of words."""
+        owner: list[int] = []
+        place: list[int] = []
+        share: list[float] = []
+        out = np.zeros((len(chunks), len(self.langs) + 1))
+        for i, chunk in enumerate(chunks):
+            own = letters(chunk)
+            out[i, -1] = len(own)
+            for w in own:
+                found = self.places(w)
+                owner += [i] * len(found)
+                place += found
+                share += [1 / len(found)] * len(found)
+        weighted = self.table[place] * np.array(share)[:, None]
+        for j in range(len(self.langs)):
+            out[:, j] = np.bincount(owner, weighted[:, j], minlength=len(chunks)) if owner else 0
+        return out
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         chunks: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             own = pieces(t) if t else []
             chunks += own
             counts[i] = len(own)
-        kept = self.n
+        kept = self.codes.n
         codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
-        if self.n > len(self.rows):
-            self.rows = np.concatenate((self.rows[:kept], np.empty((2 * self.n - kept, self.rows.shape[1]))))
-        for i, chunk in enumerate(self.new):
-            own = letters(chunk)
-            self.rows[kept + i, -1] = len(own)
-            self.rows[kept + i, :-1] = np.sum([self.word(w) for w in own], 0) if own else 0
+        if self.codes.new:
+            if self.codes.n > len(self.rows):
+                self.rows = np.concatenate((self.rows[:kept], np.empty((max(self.codes.n - kept, len(self.rows)), self.rows.shape[1]))))
+            self.rows[kept : self.codes.n] = self.sums(self.codes.new)
         sums = np.zeros((len(texts), self.rows.shape[1]))
         some = counts > 0
         if some.any():
             sums[some] = np.add.reduceat(self.rows[codes], (np.cumsum(counts) - counts)[some])
-        # what there is no room for, or is long, is forgotten
-        if self.n > cap:
-            for chunk in self.new[max(0, cap - kept) :]:
-                del self.codes[chunk]
-            self.n = max(kept, cap)
-        for chunk in self.new:
-            if len(chunk) > 200:
-                self.codes.pop(chunk, None)
-        self.new.clear()
+        if self.codes.new:
+            keep = self.codes.settle()
+            self.rows[kept : kept + len(keep)] = self.rows[kept + np.array(keep, np.int64)]
         n = sums[:, -1]
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
@@ -138,74 +156,93 @@ class Model:
 
 
 def _grams(n: int):
-    """The n-grams of column w; a shorter word gives one that is not of length n."""
+    """The n-grams of column w."""
     marked = F.concat(F.lit("^"), "w", F.lit("$")) if n > 1 else F.col("w")
     starts = F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1)))
     return F.transform(starts, lambda i: F.substring(marked, i, F.lit(n)))
 
 
-def learn(docs: DataFrame, per_language: int = 1500, top_words: int = 40_000, top_grams: int = 40_000) -> Model:
-    """A model from docs (doc_id, text, lang); doc_id only draws the sample."""
+def learn(docs: DataFrame, per_language: int = 400) -> Model:
+    """A model from docs (doc_id, text, lang); doc_id and text only draw the sample."""
     known = docs.where("lang is not null and text is not null and doc_id is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
     langs = sorted(sizes)
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     if not langs:
         return Model([], {}, {})
     of = {lang: i for i, lang in enumerate(langs)}
     limit = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(min(1.0, per_language / sizes[lang]) * (1 << 30)))])
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < limit[F.col("lang")]).select("lang", "text")
+    sample = known.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30)) < limit[F.col("lang")]).select("lang", "text")
 
     def count(batches):
         from collections import Counter
 
         held: dict[str, Counter] = {}
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                c = held.setdefault(lang, Counter())
-                for chunk, k in Counter(pieces(text)).items():
-                    for w in letters(chunk):
-                        c[w] += k
-            if sum(map(len, held.values())) > 300_000:
-                yield from flush(held)
-                held = {}
+            names = batch.column("lang").to_pylist()
+            for lo, hi, texts in text_slices(batch.column("text")):
+                for lang, text in zip(names[lo:hi], texts, strict=True):
+                    c = held.setdefault(lang, Counter())
+                    for chunk, k in Counter(pieces(text)).items():
+                        for w in letters(chunk):
+                            c[w] += k
+                if sum(map(len, held.values())) > 100_000:
+                    yield from flush(held)
+                    held = {}
         yield from flush(held)
 
     def flush(held):
         for lang, c in held.items():
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([of[lang]] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["w", "l", "n"])
 
-    each = [F.sum(F.when(F.col("l") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(langs))]
-    every = sum((F.col(f"n{i}") for i in range(1, len(langs))), F.col("n0"))
-    words = sample.mapInArrow(count, "w string, l int, n long").groupBy("w").agg(*each).persist()
+    names = [f"n{i}" for i in range(len(langs))]
+    each = [F.sum(F.when(F.col("l") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(names)]
+    words = sample.mapInArrow(kernel(count), "w string, l int, n long").groupBy("w").agg(*each).persist()
 
-    def most(table: DataFrame, k: int) -> dict[str, list[int]]:
-        return {r["w"]: [r[f"n{i}"] for i in range(len(langs))] for r in table.orderBy(every.desc(), "w").limit(k).collect()}
+    def whole(table: DataFrame) -> dict[str, list[int]]:
+        got = table.toArrow()
+        order = got.column("w").to_pylist()
+        columns = np.stack([got.column(c).to_numpy() for c in names], 1) if order else np.zeros((0, len(names)))
+        at = sorted(range(len(order)), key=order.__getitem__)
+        return {order[i]: columns[i].tolist() for i in at}
 
     try:
-        top = most(words.where(every > 1), top_words)
-        by_order = {}
-        for n in ORDERS:
-            cut = words.select(F.explode(_grams(n)).alias("g"), *[f"n{i}" for i in range(len(langs))]).where(F.length("g") == n)
-            by_order[n] = most(cut.groupBy(F.col("g").alias("w")).agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))]), top_grams)
+        cut = words.select(F.explode(F.concat(*map(_grams, ORDERS))).alias("w"), *names).groupBy("w").agg(*[F.sum(c).alias(c) for c in names])
+        return Model(langs, whole(words), whole(cut))
     finally:
         words.unpersist()
-    return Model(langs, top, by_order)
+
+
+_live: list[Model] = []
+
+
+def _own(shared) -> Model:
+    model = shared.value
+    if not any(m is model for m in _live):
+        _live.append(model)
+    return model
+
+
+def drop_models() -> None:
+    for m in _live:
+        m.restart()
+    _live.clear()
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of every row; the model goes out as one broadcast of
-    at most top_words + 4 * top_grams short rows."""
+    """doc_id, lang_pred, score of every row; the model, bounded by its sample, goes out
+    as one broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        own = shared.value
-        claim(id(own), own.restart)
+        own = _own(shared)
         for batch in batches:
             for lo, hi, texts in text_slices(batch.column("text")):
                 lang, score = own.predict(texts)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(kernel(run, "language", drop_models), "doc_id long, lang_pred string, score double")
 
 
 def keep_sure(docs: DataFrame, model: Model, least: float = 0.6) -> DataFrame:
@@ -213,14 +250,13 @@ def keep_sure(docs: DataFrame, model: Model, least: float = 0.6) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        own = shared.value
-        claim(id(own), own.restart)
+        own = _own(shared)
         for batch in batches:
             for lo, hi, texts in text_slices(batch.column("text")):
                 lang, score = own.predict(texts)
                 yield batch.slice(lo, hi - lo).filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(kernel(run, "language", drop_models), docs.schema)
 
 
 def op5_query(docs: DataFrame) -> DataFrame:
