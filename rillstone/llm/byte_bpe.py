@@ -9,7 +9,8 @@ beyond `LONGEST` bytes would need too many rounds; they are merged with a heap b
 same rule.
 
 Defined results: a null text is an empty one; an empty text has no ids and decodes to
-no bytes; repeated rows are kept; bytes that form no known token cannot occur, since
+no bytes; repeated rows are kept, as are null doc_ids; an empty table gives none; very
+long texts are encoded whole; further columns are ignored; bytes that form no known token cannot occur, since
 all 256 single bytes must have a rank (checked).
 """
 

@@ -32,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, tag: str, owner: str = "") -> str:
-    """A new path in the shared folder; `release(spark, owner)` deletes it."""
+    """A new path in the shared folder; `release(spark, owner)` deletes it, and else the
+    end of the application does (see `keep_until_exit`)."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     _made.setdefault(owner, []).append(path)
     return path
@@ -45,13 +46,29 @@ def release(spark: SparkSession, owner: str = "") -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    """What is written there goes when the driver ends: a result that is still to be
+    read may rest on it until then."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+
+
 def settle(df: DataFrame, tag: str, owner: str = "") -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = scratch(spark, tag, owner)
     df.write.parquet(path)
+    keep_until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with marks behind it until no column has it."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name

@@ -5,6 +5,9 @@ with very many neighbours is no burden) and two joins; rounds are written to the
 shared folder, so a lost executor costs one round at most. Before the first round
 every partition contracts its own edges with a union-find, which shortens long chains;
 if at most `ONE_TASK` edges are left after that, one task finishes.
+
+Defined results: loops and repeated edges count for nothing; an edge with a null end is
+dropped; an empty table gives none; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
+from .worker import kernel
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,9 +73,9 @@ def components(edges: DataFrame, owner: str = "", rounds: int = 60) -> DataFrame
 
     Nodes that are smallest themselves do not appear. Raises if `rounds` are too few.
     """
-    e = settle(edges.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long"), "cc", owner)
+    e = settle(edges.where("a <> b").select("a", "b").mapInArrow(kernel(_contract), "a long, b long"), "cc", owner)
     if e.count() <= ONE_TASK:
-        e = settle(e.coalesce(1).mapInArrow(_whole, "a long, b long"), "cc", owner)
+        e = settle(e.coalesce(1).mapInArrow(kernel(_whole), "a long, b long"), "cc", owner)
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = None
     for _ in range(rounds):

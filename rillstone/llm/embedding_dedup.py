@@ -2,20 +2,24 @@
 
 Only vectors with the same label (and the same length) are compared. Equal vectors
 are one class with a size. On the unit sphere cosine >= t is distance <= eps =
-sqrt(2 - 2t). Pivots of a bounded sample cut each label into cells; a vector is at
-home in the cell of its nearest pivot and a guest in each cell whose bisecting plane
-is at most eps away, so a home vector meets all its partners in its own cell. Cells
-beyond `block` vectors are cut further into pairs of blocks, which bounds the memory
-of a task however large a label or a group of copies is. A task builds a cover tree
-(nested levels, halving radii) over its home vectors and one over all, and traverses
-node pairs: apart by more than both covering radii and eps they are pruned, within
-eps they are linked whole, else split. What leaves a task is a count for each home
-vector and a spanning forest of its links, never the pairs.
+sqrt(2 - 2t). Pivots of a bounded sample cut each label into cells, as many as its size
+asks for but only while they separate: on the sample a vector may lie in `COPIES` cells
+at most on average. A vector is at home in the cell of its nearest pivot and a guest in
+each cell whose bisecting plane is at most eps away, so a home vector meets all its
+partners in its own cell. Cells beyond `block` vectors are cut further into pairs of
+blocks, each dealt out by its own key, which bounds the memory of a task however large a
+label or a group of copies is. Two blocks meet once. A task builds a cover tree (nested
+levels, halving radii) over the home vectors, and one over the guests, of a block and
+traverses node pairs: apart by more than both covering radii and eps they are pruned,
+within eps they are linked whole, else split; a tree with itself is traversed in one
+half. What leaves a task is a count for each home vector and a spanning forest of its
+links, never the pairs.
 
 Defined results: a vector that is null, empty, all zero or holds a null or non-finite
 component, or has a null label, links with nothing and is its own component. Repeated
 rows link with each other. A null vec_id keeps its row; it counts as a link, but
-never names a component unless it is alone (then null). Extra columns are ignored.
+never names a component unless it is alone (then null). An empty table gives none; very
+long vectors are compared whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +32,12 @@ from pyspark.sql import functions as F
 from .common import settle
 from .components import components, forest
 from .vectors import farthest_first, finite_rows
+from .worker import kernel
 
 LEAF = 24
 SLACK = 1e-9
+#: Cells that a vector of the sample may lie in, on average.
+COPIES = 3.0
 
 
 class CoverTree:
@@ -99,54 +106,77 @@ class CoverTree:
         return self.order[self.lo[node] : self.hi[node]]
 
 
-def linked(home: np.ndarray, every: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each home vector the summed sizes of the vectors in `every` with cosine >=
-    threshold, and edges that span all these links (rows of home, then of every)."""
-    counts = np.zeros(len(home), np.int64)
-    ends: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
-    if not len(home) or not len(every):
-        return counts, np.empty(0, np.int64), np.empty(0, np.int64)
-    eps = np.sqrt(max(0.0, 2 - 2 * threshold))
-    a = CoverTree(home)
-    b = a if home.shape == every.shape and np.array_equal(home, every) else CoverTree(every)
-    todo = [(0, 0)]
+class Links:
+    """Counts of partners, and edges that span all links, in bounded memory."""
+
+    def __init__(self, n: int):
+        self.counts = np.zeros(n, np.int64)
+        self.ends: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = self.computed = 0
+
+    def keep(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.ends.append((i, j))
+        self.held += len(i)
+        if self.held > 2_000_000:
+            self.ends = [forest(*map(np.concatenate, zip(*self.ends, strict=True)))]
+            self.held = len(self.ends[0][0])
 
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        nonlocal held, ends
-        ends.append((i, j + len(home)))
-        held += len(i)
-        if held > 2_000_000:
-            ends = [forest(*map(np.concatenate, zip(*ends, strict=True)))]
-            held = len(ends[0][0])
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.ends:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate([i for i, _ in self.ends]), np.concatenate([j for _, j in self.ends])
 
+
+def link(out: Links, a: CoverTree, b: CoverTree, at: np.ndarray, to: np.ndarray, sizes: np.ndarray, threshold: float, both: bool) -> None:
+    """Adds the links between the vectors of two trees (one tree twice: each pair once,
+    and each vector with itself). `at` and `to` number their vectors as `out` and `sizes`
+    do; `both`: vectors of b count their partners, too."""
+    if not len(at) or not len(to):
+        return
+    eps = np.sqrt(max(0.0, 2 - 2 * threshold))
+    same = a is b
+    todo = [(0, 0)]
     while todo:
         m, n = todo.pop()
         ka, kb = a.kids[m], b.kids[n]
+        one = same and m == n
         if ka is None and kb is None:
             i, j = a.rows(m), b.rows(n)
-            near_i, near_j = np.nonzero(home[i] @ every[j].T >= threshold)
-            np.add.at(counts, i[near_i], sizes[j[near_j]])
-            keep(i[near_i], j[near_j])
+            out.computed += len(i) * len(j)
+            near = a.x[i] @ b.x[j].T >= threshold
+            if one:
+                near[np.arange(len(i)), np.arange(len(i))] = True
+            near_i, near_j = np.nonzero(near)
+            np.add.at(out.counts, at[i[near_i]], sizes[to[j[near_j]]])
+            if both and not one:
+                np.add.at(out.counts, to[j[near_j]], sizes[at[i[near_i]]])
+            out.keep(at[i[near_i]], to[j[near_j]])
             continue
-        if kb is None or (ka is not None and a.radii[m] >= b.radii[n]):
+        if one:
+            kb = ka
+        elif kb is None or (ka is not None and a.radii[m] >= b.radii[n]):
             kb = np.array([n])
         else:
             ka = np.array([m])
-        for at in range(0, len(ka), 512):
-            part = ka[at : at + 512]
-            d = np.sqrt(np.maximum(0, 2 - 2 * (home[a.centres[part]] @ every[b.centres[kb]].T)))
-            reach = a.radii[part][:, None] + b.radii[kb][None, :]
-            whole = d + reach <= eps - SLACK
+        step = 64 if one else 512
+        for lo in range(0, len(ka), step):
+            part = ka[lo : lo + step]
+            rest = kb[lo:] if one else kb  # of one tree, kids from each one onwards
+            out.computed += len(part) * len(rest)
+            d = np.sqrt(np.maximum(0, 2 - 2 * (a.x[a.centres[part]] @ b.x[b.centres[rest]].T)))
+            if one:
+                d[np.arange(len(part)), np.arange(len(part))] = 0
+            reach = a.radii[part][:, None] + b.radii[rest][None, :]
+            once = np.arange(len(rest))[None, :] >= np.arange(len(part))[:, None] if one else np.ones(d.shape, bool)
+            whole = once & (d + reach <= eps - SLACK)
             for p, q in zip(*np.nonzero(whole), strict=True):
-                i, j = a.rows(part[p]), b.rows(kb[q])
-                counts[i] += sizes[j].sum()
-                keep(i, np.full(len(i), j[0]))
-                keep(np.full(len(j), i[0]), j)
-            todo += [(int(part[p]), int(kb[q])) for p, q in zip(*np.nonzero(~whole & (d <= reach + eps + SLACK)), strict=True)]
-    if not ends:
-        return counts, np.empty(0, np.int64), np.empty(0, np.int64)
-    return counts, np.concatenate([i for i, _ in ends]), np.concatenate([j for _, j in ends])
+                i, j = at[a.rows(part[p])], to[b.rows(rest[q])]
+                out.counts[i] += sizes[j].sum()
+                if both and not (same and part[p] == rest[q]):
+                    out.counts[j] += sizes[i].sum()
+                out.keep(i, np.full(len(i), j[0]))
+                out.keep(np.full(len(j), i[0]), j)
+            todo += [(int(part[p]), int(rest[q])) for p, q in zip(*np.nonzero(once & ~whole & (d <= reach + eps + SLACK)), strict=True)]
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -165,22 +195,37 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 81
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(raw, pa.binary())], ["vec_id", "label", "v"])
 
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding").mapInArrow(clean, "vec_id long, label string, v binary")
+    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding").mapInArrow(kernel(clean), "vec_id long, label string, v binary")
     key = F.when(F.col("label").isNotNull() & F.col("v").isNotNull(), F.sha2(F.concat(F.col("label").cast("binary"), F.lit(b"\x00"), F.col("v")), 256))
     rows = settle(rows.withColumn("k", key), "vectors", owner)
     classes = settle(rows.where("k is not null").groupBy("k").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("v").alias("v")), "classes", owner)
     n = classes.count()
     part = min(1.0, sample / max(n, 1))
-    picked = classes.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(part * (1 << 30))).select("label", "v").limit(2 * sample).collect()
+    picked = classes.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(part * (1 << 30))).select("label", "v", "k").orderBy(F.xxhash64("k"), "k").limit(2 * sample).collect()
     by: dict[tuple[str, int], list[bytes]] = {}
     for r in picked:
         by.setdefault((r["label"], len(r["v"])), []).append(bytes(r["v"]))
+    eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+
+    def reached(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of unit vectors the nearest pivot, and the cells that they lie in."""
+        d2 = np.maximum(0, 2 - 2 * (x @ p.T))
+        near = d2.argmin(1)
+        gap = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))[near]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            inside = np.nan_to_num((d2 - d2.min(1)[:, None]) / (2 * gap), nan=0.0) <= eps + SLACK
+        inside[np.arange(len(x)), near] = True
+        return near, inside
+
     pivots = {}
     for g, raw in by.items():
         cells = min(-(-int(len(raw) / part) // block), len(raw) // 8)
-        if cells > 1:
-            pivots[g] = farthest_first(_unit(raw), cells)
-    eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+        x = _unit(raw)
+        spread = farthest_first(x, cells) if cells > 1 else x[:1]
+        while len(spread) > 1 and reached(x, spread)[1].sum() > COPIES * len(x):
+            spread = spread[: len(spread) // 2]
+        if len(spread) > 1:
+            pivots[g] = spread
 
     def place(batches):
         for batch in batches:
@@ -196,13 +241,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 81
                     cell.append(np.zeros(len(own), np.int32))
                     home.append(np.ones(len(own), bool))
                     continue
-                p = pivots[g]
-                d2 = np.maximum(0, 2 - 2 * (_unit([raw[i] for i in own]) @ p.T))
-                near = d2.argmin(1)
-                gap = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))[near]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    in_reach = np.nan_to_num((d2 - d2.min(1)[:, None]) / (2 * gap), nan=0.0) <= eps + SLACK
-                in_reach[np.arange(len(own)), near] = True
+                near, in_reach = reached(_unit([raw[i] for i in own]), pivots[g])
                 i, c = np.nonzero(in_reach)
                 take.append(own[i])
                 cell.append(c.astype(np.int32))
@@ -211,27 +250,41 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 81
             idx = pa.array(at)
             yield pa.RecordBatch.from_arrays([batch.column("label").take(idx), batch.column("rep").take(idx), batch.column("size").take(idx), batch.column("v").take(idx), batch.column("k").take(idx), pa.array(np.concatenate(cell) if cell else [], pa.int32()), pa.array(np.concatenate(home) if home else [], pa.bool_())], ["label", "rep", "size", "v", "k", "cell", "home"])
 
-    placed = settle(classes.select("label", "rep", "size", "v", "k").mapInArrow(place, "label string, rep long, size long, v binary, k string, cell int, home boolean").withColumn("dim", F.length("v")), "placed", owner)
+    placed = settle(classes.select("label", "rep", "size", "v", "k").mapInArrow(kernel(place), "label string, rep long, size long, v binary, k string, cell int, home boolean").withColumn("dim", F.length("v")), "placed", owner)
     cells = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
     salted = placed.join(cells, ["label", "dim", "cell"]).withColumn("salt", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int"))
+    # a row goes to the pairs (i, j), i <= j, of its block with each block
     every = salted.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
-    as_home = every.where("home").select("label", "dim", "cell", F.col("salt").alias("i"), F.col("other").alias("j"), "k", "size", "v", F.lit(True).alias("home"))
-    as_any = every.select("label", "dim", "cell", F.col("other").alias("i"), F.col("salt").alias("j"), "k", "size", "v", F.lit(False).alias("home"))
+    sides = every.select("label", "dim", "cell", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "k", "size", "v", "home").repartition("label", "dim", "cell", "i", "j")
 
     def pairs(table: pa.Table) -> pa.Table:
-        table = table.sort_by("k")  # equal sides then share one tree
+        table = table.sort_by("k")
         home = table.column("home").to_numpy(zero_copy_only=False)
         if not home.any():
             return pa.table({"k": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "l": pa.array([], pa.string())})
+        first = table.column("salt").to_numpy() == table.column("i")[0].as_py()
         k, x = np.array(table.column("k").to_pylist(), object), _unit(table.column("v").to_pylist())
-        size = table.column("size").to_numpy()
-        counts, i, j = linked(x[home], x[~home], size[~home], threshold)
-        names, code = np.unique(np.concatenate((k[home], k[~home])), return_inverse=True)
-        of, n = code[: home.sum()], int(home.sum())
-        u, v = forest(code[i], code[j]) if len(i) else (np.empty(0, int), np.empty(0, int))
-        return pa.table({"k": pa.array([*names[of], *names[u]], pa.string()), "n": pa.array([*counts.tolist(), *[0] * len(u)], pa.int64()), "l": pa.array([*[None] * n, *names[v]], pa.string())})
-
-    found = settle(as_home.union(as_any).groupBy("label", "dim", "cell", "i", "j").applyInArrow(pairs, "k string, n long, l string"), "found", owner)
+        size, out = table.column("size").to_numpy(), Links(len(k))
+
+        def tree(mask: np.ndarray) -> tuple[CoverTree, np.ndarray]:
+            own = np.flatnonzero(mask)
+            return CoverTree(x[own]), own
+
+        (h1, i1), (g1, j1) = tree(home & first), tree(~home & first)
+        if first.all():
+            link(out, h1, h1, i1, i1, size, threshold, True)
+            link(out, h1, g1, i1, j1, size, threshold, False)
+        else:
+            (h2, i2), (g2, j2) = tree(home & ~first), tree(~home & ~first)
+            link(out, h1, h2, i1, i2, size, threshold, True)
+            link(out, h1, g2, i1, j2, size, threshold, False)
+            link(out, h2, g1, i2, j1, size, threshold, False)
+        u, v = out.edges()
+        u, v = forest(u, v) if len(u) else (u, v)
+        own = np.flatnonzero(home)
+        return pa.table({"k": pa.array([*k[own], *k[u]], pa.string()), "n": pa.array([*out.counts[own].tolist(), *[0] * len(u)], pa.int64()), "l": pa.array([*[None] * len(own), *k[v]], pa.string())})
+
+    found = settle(sides.groupBy("label", "dim", "cell", "i", "j").applyInArrow(pairs, "k string, n long, l string"), "found", owner)
     rep = classes.select("k", "rep")
     # classes whose vec_ids are all null carry no edge
     edges = found.where("l is not null").join(rep.select("k", F.col("rep").alias("a")), "k").join(rep.select(F.col("k").alias("l"), F.col("rep").alias("b")), "l").select("a", "b").where("a is not null and b is not null")

@@ -1,19 +1,22 @@
 """Line dedup by content-defined chunks of lines.
 
 A text is a sequence of lines. A rolling hash over the hashes of `WINDOW` lines ends a
-chunk after a line where it is 0 modulo `MODULUS`, so borders depend on the lines
-around them only and a passage is cut alike wherever it stands; a line of `LONG_LINE`
-words or more is a chunk of its own. A chunk of several lines, or a single one of
-`LONG_LINE` words, that occurs more than once in the corpus is kept where it occurs
-first (by doc_id, then place) and removed elsewhere, after comparison of bytes: chunks
-meet by a 128-bit hash, and each group must have equal least and greatest bytes (both
-are combined before the shuffle, so a chunk that a third of all texts have moves once
-for each task). Groups that differ are left alone.
+chunk of two lines or more after a line where it is 0 modulo `MODULUS`. So the borders
+of a passage depend on its lines, and on the border before it only until two copies
+first share one, a few lines on. A line of `long_line` words or more (a parameter;
+None: no such lines) is a chunk of its own. A chunk of several lines, or a single long
+one, that occurs more than once in the corpus is kept where it occurs first (by doc_id,
+then place) and removed elsewhere, after comparison of bytes: chunks meet by a 128-bit
+hash, and each group must have equal least and greatest bytes (both are combined before
+the shuffle, so a chunk that a third of all texts have moves once for each task). Groups
+that differ are left alone. Repeated groups go to the chunks by a broadcast while they
+are at most `BROADCAST_GROUPS`, and beyond that by a join in which each group is repeated
+for `SALTS` parts of the chunks, so that no hash is in one task.
 
 Chunks leave what lies before the first and behind the last border in a passage. With
 `passages` (the pipeline; the registered op4 keeps to its SQL) every passage of lines
-with `LONG_LINE` words in all that occurs earlier goes, too: from each line onwards, and
-up to each line, the shortest run of lines with `LONG_LINE` words depends on the passage
+with `PASSAGE` words in all that occurs earlier goes, too: from each line onwards, and
+up to each line, the shortest run of lines with `PASSAGE` words depends on the passage
 alone, and these runs together cover it. Runs meet by a 64-bit hash; those that occur
 more than once count as equal by a 256-bit BLAKE2 of their bytes. All but the first (by
 doc_id, hash of the text, line) go; of one that overlaps the first in the same text, the
@@ -22,7 +25,9 @@ lines behind the first. So each line that goes has an equal one before it that s
 Defined results: null texts stay null; empty texts stay empty; a text all of whose
 chunks are removed becomes empty; repeated rows (same doc_id and text) share the place
 of a first occurrence and so keep their chunks, as do null doc_ids among each other
-(null is before all); further columns are kept as they are.
+(null is before all); very long texts are cut whole, one at a time; an empty table gives
+none; further columns are kept as they are, but that `stats` replaces columns named
+lines_kept and lines_removed.
 """
 
 from __future__ import annotations
@@ -36,17 +41,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import text_slices
-from .common import settle
+from .common import fresh, settle
 from .wordhash import _SPACE, _pow, mix, span_hashes
+from .worker import kernel
 
-WINDOW, MODULUS, LONG_LINE = 2, 4, 50
+WINDOW, MODULUS, LONG_LINE, PASSAGE = 2, 4, 50, 50
 #: Up to so many texts and chunk numbers to remove (about 40 bytes each) are broadcast.
 BROADCAST_MARKS = 1_000_000
+#: Up to so many repeated hashes with their first places (about 100 bytes each) are broadcast.
+BROADCAST_GROUPS, SALTS = 500_000, 32
 #: A run's first line times this, plus its last line.
 PLACE = 1 << 32
 
 
-def chunks(text: str) -> list[tuple[int, str, bool]]:
+def chunks(text: str, long_line: int | None = LONG_LINE) -> list[tuple[int, str, bool]]:
     """Number of lines, text and whether repetitions are removed, of each chunk."""
     lines = text.split("\n")
     out: list[tuple[int, str, bool]] = []
@@ -54,7 +62,7 @@ def chunks(text: str) -> list[tuple[int, str, bool]]:
     before = 0
     for line in lines:
         h = int.from_bytes(md5(line.encode("utf-8", "replace")).digest()[:4], "big")
-        if len(line) >= 2 * LONG_LINE - 1 and len(line.split(" ")) >= LONG_LINE:
+        if long_line and len(line) >= 2 * long_line - 1 and len(line.split(" ")) >= long_line:
             if held:
                 out.append((len(held), "\n".join(held), len(held) > 1))
                 held = []
@@ -70,41 +78,50 @@ def chunks(text: str) -> list[tuple[int, str, bool]]:
     return out
 
 
-def _chunk_rows(batches):
-    for batch in batches:
-        rows: tuple[list, ...] = ([], [], [], [], [])
-        size = 0
-        for doc, name, text in zip(batch.column("doc_id").to_pylist(), batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for i, (_, chunk, whole) in enumerate(chunks(text)):
-                if whole:
-                    raw = chunk.encode("utf-8", "replace")
-                    for c, v in zip(rows, (doc, name, i, md5(raw).digest(), raw), strict=True):
-                        c.append(v)
-                    size += len(raw)
-            if size > 4_000_000:
-                yield _batch(rows)
-                rows, size = ([], [], [], [], []), 0
-        if rows[0]:
-            yield _batch(rows)
+def _chunk_rows(long_line: int | None, with_bytes: bool):
+    def run(batches):
+        for batch in batches:
+            docs, names = batch.column("doc_id").to_pylist(), batch.column("name").to_pylist()
+            for lo, _, texts in text_slices(batch.column("text")):
+                rows: tuple[list, ...] = ([], [], [], [], [])
+                for at, text in enumerate(texts, lo):
+                    for i, (_, chunk, whole) in enumerate(chunks(text, long_line)):
+                        if whole:
+                            raw = chunk.encode("utf-8", "replace")
+                            for c, v in zip(rows, (docs[at], names[at], i, md5(raw).digest(), raw if with_bytes else None), strict=True):
+                                c.append(v)
+                if rows[0]:
+                    yield _batch(rows)
+
+    return kernel(run)
 
 
 def _batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "name", "i", "hash", "bytes"])
 
 
-def repeated(docs: DataFrame, owner: str = "") -> DataFrame:
+def meet(rows: DataFrame, groups: DataFrame, key: str, n: int, *salt: str) -> DataFrame:
+    """Joins rows with at most one of `n` groups each; any share of them may have one key."""
+    if n <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), key)
+    spread = rows.withColumn("__part", F.pmod(F.xxhash64(*salt), F.lit(SALTS)))
+    return spread.join(groups.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [key, "__part"]).drop("__part")
+
+
+def repeated(docs: DataFrame, owner: str = "", long_line: int | None = LONG_LINE) -> DataFrame:
     """doc_id, name (hash of the text), gone (array of chunk numbers to remove)."""
     texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("name"), "text")
-    rows = texts.mapInArrow(_chunk_rows, "doc_id long, name long, i int, hash binary, bytes binary")
+    schema = "doc_id long, name long, i int, hash binary, bytes binary"
+    rows = texts.mapInArrow(_chunk_rows(long_line, True), schema)
     place = F.struct("doc_id", "name", "i")
     groups = settle(rows.groupBy("hash").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi"), F.count("*").alias("n"), F.min(place).alias("first")).where((F.col("n") > 1) & (F.col("lo") == F.col("hi"))).select("hash", "first"), "repeated", owner)
-    light = texts.mapInArrow(_chunk_rows, "doc_id long, name long, i int, hash binary, bytes binary").select("doc_id", "name", "i", "hash")
-    gone = light.join(groups, "hash").where(~place.eqNullSafe(F.col("first")))
+    light = texts.mapInArrow(_chunk_rows(long_line, False), schema).select("doc_id", "name", "i", "hash")
+    gone = meet(light, groups, "hash", groups.count(), "doc_id", "name", "i").where(~place.eqNullSafe(F.col("first")))
     return settle(gone.groupBy("doc_id", "name").agg(F.collect_set("i").alias("gone")), "gone", owner)
 
 
 def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The shortest runs of lines with LONG_LINE words that begin or end at a line: the
+    """The shortest runs of lines with PASSAGE words that begin or end at a line: the
     text, first and last line, and a hash, of each."""
     parts = [t.encode("utf-8", "replace") + b"\n" for t in texts]
     raw = np.frombuffer(b"".join(parts), np.uint8)
@@ -116,8 +133,8 @@ def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     inside[1:] &= _SPACE[raw[:-1]]
     before = np.searchsorted(np.flatnonzero(inside), np.append(starts, len(raw)))
     line = np.arange(len(ends))
-    to = np.searchsorted(before, before[:-1] + LONG_LINE) - 1
-    since = np.searchsorted(before, before[1:] - LONG_LINE, "right") - 1
+    to = np.searchsorted(before, before[:-1] + PASSAGE) - 1
+    since = np.searchsorted(before, before[1:] - PASSAGE, "right") - 1
     onwards = np.flatnonzero(to < first[owner + 1])
     up_to = np.flatnonzero((since >= first[owner]) & (to[since] != line))
     i, j = np.concatenate((onwards, since[up_to])), np.concatenate((to[onwards], up_to))
@@ -166,25 +183,27 @@ def _same_text(a: str, b: str):
 def repeated_runs(docs: DataFrame, owner: str = "") -> DataFrame:
     """doc_id, name (hash of the text), runs (array of PLACE numbers of lines to remove)."""
     texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("name"), "text")
-    every = settle(texts.mapInArrow(_run_rows, "doc_id long, name long, i int, j int, h long"), "runs", owner)
+    every = settle(texts.mapInArrow(kernel(_run_rows), "doc_id long, name long, i int, j int, h long"), "runs", owner)
     often = settle(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often", owner)
-    hits = every.join(_few(often, often.count()), "h", "left_semi")
+    hits = meet(every, often, "h", often.count(), "doc_id", "name", "i", "j")
     by_text = settle(hits.groupBy("doc_id", "name").agg(F.collect_set(_place(F.col("i"), F.col("j"))).alias("runs")), "hits", owner)
     n = by_text.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
     with_text = texts.alias("t").join(_few(by_text, n).alias("r"), _same_text("t", "r")).select("t.*", "r.runs")
-    sure = settle(with_text.mapInArrow(_digest_rows, "doc_id long, name long, i int, j int, digest binary"), "sure", owner)
+    sure = settle(with_text.mapInArrow(kernel(_digest_rows), "doc_id long, name long, i int, j int, digest binary"), "sure", owner)
     groups = settle(sure.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "name", "i", "j")).alias("first")).where("n > 1").select("digest", "first"), "firsts", owner)
-    later = sure.join(_few(groups, 4 * groups.count()), "digest").where(~F.struct("doc_id", "name", "i", "j").eqNullSafe(F.col("first")))
+    later = meet(sure, groups, "digest", groups.count(), "doc_id", "name", "i", "j").where(~F.struct("doc_id", "name", "i", "j").eqNullSafe(F.col("first")))
     home = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("name") == F.col("first.name"))
     since = F.when(home, F.greatest("i", F.col("first.j") + 1)).otherwise(F.col("i"))
     return settle(later.groupBy("doc_id", "name").agg(F.collect_set(_place(since, F.col("j"))).alias("runs")), "gone-runs", owner)
 
 
-def dedup_lines(docs: DataFrame, owner: str = "", stats: bool = False, passages: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, owner: str = "", stats: bool = False, passages: bool = False, long_line: int | None = LONG_LINE) -> DataFrame:
     """The rows of docs with repeated chunks (and `passages`) removed from text, and
     n_chars (where docs have it) set to the new length; `stats` adds lines_kept and
     lines_removed."""
-    gone = repeated(docs, owner).withColumn("runs", F.array().cast("array<long>"))
+    if stats:
+        docs = docs.drop("lines_kept", "lines_removed")
+    gone = repeated(docs, owner, long_line).withColumn("runs", F.array().cast("array<long>"))
     if passages:
         both = gone.union(repeated_runs(docs, owner).select("doc_id", "name", F.array().cast("array<int>").alias("gone"), "runs"))
         gone = settle(both.groupBy("doc_id", "name").agg(F.flatten(F.collect_list("gone")).alias("gone"), F.flatten(F.collect_list("runs")).alias("runs")), "marks", owner)
@@ -192,44 +211,49 @@ def dedup_lines(docs: DataFrame, owner: str = "", stats: bool = False, passages:
     # texts with removals are few; up to this size they need not move the others
     if marks <= BROADCAST_MARKS:
         gone = F.broadcast(gone)
-    joined = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.name")), "left").select("d.*", F.col("g.gone").alias("__gone"), F.col("g.runs").alias("__runs"))
     names = docs.columns
+    c_gone, c_runs = fresh("gone", names), fresh("runs", names)
+    joined = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.name")), "left").select("d.*", F.col("g.gone").alias(c_gone), F.col("g.runs").alias(c_runs))
     schema = T.StructType([*docs.schema.fields, *([T.StructField("lines_kept", T.LongType()), T.StructField("lines_removed", T.LongType())] if stats else [])])
 
     def clean(batches):
-        for batch in batches:
-            texts, marks = batch.column("text").to_pylist(), batch.column("__gone").to_pylist()
-            new, kept, removed = [], [], []
-            for text, out, places in zip(texts, marks, batch.column("__runs").to_pylist(), strict=True):
-                if out is None:
-                    new.append(text)
-                    kept.append(text.count("\n") + 1 if text is not None else 0)
-                    removed.append(0)
-                    continue
-                drop, lines, at = set(out), text.split("\n"), 0
-                stay = np.ones(len(lines), bool)
-                for i, (n, _, _) in enumerate(chunks(text)):
-                    if i in drop:
-                        stay[at : at + n] = False
-                    at += n
-                for place in places:
-                    stay[place // PLACE : place % PLACE + 1] = False
-                new.append("\n".join(line for line, own in zip(lines, stay.tolist(), strict=True) if own))
-                kept.append(int(stay.sum()))
-                removed.append(len(lines) - kept[-1])
-            columns = []
-            for c in names:
-                if c == "text":
-                    columns.append(pa.array(new, pa.string()))
-                elif c == "n_chars":
-                    columns.append(pa.array([n if out is None else len(t) for n, out, t in zip(batch.column(c).to_pylist(), marks, new, strict=True)], pa.int64()))
-                else:
-                    columns.append(batch.column(c))
-            if stats:
-                columns += [pa.array(kept, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
-
-    return joined.mapInArrow(clean, schema)
+        for whole in batches:
+            for lo, hi, texts in text_slices(whole.column("text")):
+                yield cleaned(whole.slice(lo, hi - lo), texts)
+
+    def cleaned(batch, texts):
+        marks = batch.column(c_gone).to_pylist()
+        new, kept, removed = [], [], []
+        for text, out, places in zip(texts, marks, batch.column(c_runs).to_pylist(), strict=True):
+            if out is None:
+                new.append(text)
+                kept.append(text.count("\n") + 1 if text is not None else 0)
+                removed.append(0)
+                continue
+            drop, lines, at = set(out), text.split("\n"), 0
+            stay = np.ones(len(lines), bool)
+            for i, (n, _, _) in enumerate(chunks(text, long_line)):
+                if i in drop:
+                    stay[at : at + n] = False
+                at += n
+            for place in places:
+                stay[place // PLACE : place % PLACE + 1] = False
+            new.append("\n".join(line for line, own in zip(lines, stay.tolist(), strict=True) if own))
+            kept.append(int(stay.sum()))
+            removed.append(len(lines) - kept[-1])
+        columns = []
+        for c in names:
+            if c == "text":
+                columns.append(pa.array(new, pa.string()))
+            elif c == "n_chars":
+                columns.append(pa.array([n if out is None else len(t) for n, out, t in zip(batch.column(c).to_pylist(), marks, new, strict=True)], batch.column(c).type))
+            else:
+                columns.append(batch.column(c))
+        if stats:
+            columns += [pa.array(kept, pa.int64()), pa.array(removed, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, schema.fieldNames())
+
+    return joined.mapInArrow(kernel(clean), schema)
 
 
 SQL = f"""

@@ -2,30 +2,35 @@
 
 Documents with equal sets are one class. `trees` signature orders are kept; tree t
 starts at minhash t * depth. A row of a tree has the hash of its first `depth`
-minhashes (its region) and, as sort key, the next two. All rows are range-partitioned
-and sorted by (tree, region, next minhashes), so one hot region is spread over tasks.
-Within a region a row's candidates are the region's first row and its `window`
-predecessors, which are its longest-common-prefix neighbours: in a sparse region these
-are all rows of it, in a crowded one those that agree deeper, so depth adapts to the
-region. Regions that reach over a border between tasks are joined by the rows at it.
+minhashes (its region) and, as sort key, 16 bits of each of the next four. All rows are
+range-partitioned and sorted by (tree, region, next minhashes), so one hot region is
+spread over tasks. Within a region a row's candidates are the region's first row and its
+`window` predecessors, which are its longest-common-prefix neighbours: in a sparse
+region these are all rows of it, in a crowded one those that agree deeper (to eight
+minhashes), so depth adapts to the region. Regions that reach over a border between
+tasks are joined by the rows at it.
 
 Candidates are thinned by set sizes and by agreement of one-byte signatures (below
 `floor` matches of all minhashes a true link is rarer than 1 in 10^9), then confirmed
 on full sets in three steps: each document's most frequent candidate, its next eight,
-and all the rest, every time without pairs that are already in one component. Regions
-with more rows than the window covers are looked at again: documents that share such
-regions are a family, and where a family still holds several components, all its
-documents outside the largest one are compared with all others on full sets, in blocks
-(a task holds at most about 2 * BLOCK documents and returns a forest of links). So a
-group that links is not expanded into its pairs, and no candidate is dropped.
+and all the rest, every time without pairs that are already in one component.
+
+Regions with more rows than the window covers are looked at again. The sorted pass ties
+each of their rows to the region's first one; documents tied in any tree are a family.
+Where a family still holds several components, its documents outside the largest one
+are compared with all others on full sets, in blocks of like set size (a task holds
+at most about 2 * BLOCK documents, sizes differ by two steps of 1 / similarity at most,
+and it returns a forest of links). So a group that links is not expanded into its
+pairs, and no candidate is dropped.
 
 A pair with Jaccard 0.8 shares no region with probability (1 - 0.8^4)^28 < 10^-6.
 
 Defined results: null or blank texts have an empty set, link with nothing and are kept
 as their own component; repeated rows are one class; rows that share a doc_id are
 judged each by its own text (classes that share their least doc_id get numbers for the
-comparison, and rows go by doc_id and a hash of the text); a null doc_id has a null component, is never a
-representative and stays; further columns are ignored, or kept with `keep_columns`,
+comparison, and rows go by doc_id and a hash of the text); a null doc_id has a null
+component, is never a representative and stays; an empty table gives none; very long
+texts are read whole; further columns are ignored, or kept with `keep_columns`,
 where a row that repeats both doc_id and text stays once.
 """
 
@@ -42,6 +47,7 @@ from .chunks import text_slices
 from .common import settle, shuffle_parts
 from .components import components, forest
 from .wordhash import mix, shingles, words
+from .worker import kernel
 
 TREES, DEPTH = 28, 4
 HASHES = TREES * DEPTH
@@ -101,7 +107,6 @@ def _fingerprints(size: int):
 
 
 def _tree_rows(batches):
-    shift = np.uint64(32)
     for batch in batches:
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
         for t in range(TREES):
@@ -109,18 +114,33 @@ def _tree_rows(batches):
             key = np.zeros(len(sig), np.uint64)
             for k in range(DEPTH):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, at + k] + np.uint64(t + 1))
-            deeper = sig[:, (at + DEPTH) % HASHES] << shift | sig[:, (at + DEPTH + 1) % HASHES]
+            deeper = np.zeros(len(sig), np.uint64)
+            for k in range(4):
+                deeper = deeper << np.uint64(16) | sig[:, (at + DEPTH + k) % HASHES] >> np.uint64(16)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), pa.array(key.view(np.int64)), pa.array(deeper.view(np.int64)), batch.column("rep"), batch.column("n")], ["tree", "region", "deeper", "rep", "n"])
 
 
+PAIR, TIE, BORDER = 0, 1, 2
+_FOUND = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("region", pa.int64()), ("part", pa.int32()), ("last", pa.bool_())])
+
+
 def _neighbours(window: int, least: float):
-    """Candidate pairs of a sorted partition, its first and last rows (border), and the
-    regions that have more rows than the window covers."""
-    names = ["a", "b", "tree", "region", "part", "last"]
+    """From a sorted partition: candidate pairs; ties of rows to the first row of their
+    region, where it has more rows than the window covers or may reach over a border;
+    and the first and last row."""
+
+    def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        none = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(none, kind, np.int8)), pa.array(a), pa.array(b), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.bool_())], schema=_FOUND)
+
+    def border(rep, n, tree, region, part, last) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"kind": BORDER, "a": int(rep), "b": int(n), "tree": int(tree), "region": int(region), "part": part, "last": last}], _FOUND)
 
     def run(batches):
         carry: list[np.ndarray] | None = None
         head = None  # of the region that the carried rows belong to: rep, n
+        before = 0  # rows of that region before the carried ones
+        opening = True  # is it the partition's first region?
         part = 0
         for batch in batches:
             if not batch.num_rows:
@@ -128,78 +148,88 @@ def _neighbours(window: int, least: float):
             tree, region, rep, n = (batch.column(c).to_numpy() for c in ("tree", "region", "rep", "n"))
             part = batch.column("part")[0].as_py()
             if carry is None:
-                yield pa.RecordBatch.from_arrays([pa.array([rep[0]]), pa.array([n[0]]), pa.array([tree[0]], pa.int32()), pa.array([region[0]]), pa.array([part], pa.int32()), pa.array([False])], names)
-                held = 0
+                yield border(rep[0], n[0], tree[0], region[0], part, False)
+                head, held = (rep[0], n[0]), 0
             else:
                 tree, region, rep, n = (np.concatenate(x) for x in zip(carry, (tree, region, rep, n), strict=True))
                 held = len(carry[0])
             new = np.ones(len(rep), bool)
             new[1:] = (region[1:] != region[:-1]) | (tree[1:] != tree[:-1])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(rep)), 0))
-            found = []
+            place = np.arange(len(rep))
+            first = np.maximum.accumulate(np.where(new, place, 0))
+            head_rep, head_n = np.where(first == 0, head[0], rep[first]), np.where(first == 0, head[1], n[first])
+            depth = place - first + np.where(first == 0, before, 0)  # rows of the region before
+            a, b, b_n = [], [], []
             for back in range(1, window + 1):
                 i = np.arange(max(held, back), len(rep))
                 i = i[i - back >= first[i]]
-                found.append((i, i - back))
-            i = np.arange(held, len(rep))
-            far = i[i - first[i] > window]  # in a carried region, its true head is added below
-            a = np.concatenate([x for x, _ in found] + [far])
-            pair_n = np.concatenate([n[y] for _, y in found] + [n[first[far]]])
-            b = np.concatenate([rep[y] for _, y in found] + [rep[first[far]]])
-            if head is not None:  # rows of the carried region pair with its true head
-                inside = i[first[i] == 0]
-                a = np.concatenate((a, inside))
-                b = np.concatenate((b, np.full(len(inside), head[0])))
-                pair_n = np.concatenate((pair_n, np.full(len(inside), head[1])))
-            low, high = np.minimum(n[a], pair_n), np.maximum(n[a], pair_n)
+                a.append(i)
+                b.append(rep[i - back])
+                b_n.append(n[i - back])
+            far = place[held:][depth[held:] > window]
+            a, b, b_n = np.concatenate([*a, far]), np.concatenate([*b, head_rep[far]]), np.concatenate([*b_n, head_n[far]])
+            low, high = np.minimum(n[a], b_n), np.maximum(n[a], b_n)
             ok = (low >= least * high) & (rep[a] != b)
             x, y = rep[a][ok], b[ok]
             if len(x):
-                none = len(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.bool_())], names)
-            place = np.arange(len(rep))
-            over = np.flatnonzero((place >= held) & ((place - first == window + 1) | ((first == 0) & (place == held) & (held >= window))))
-            if len(over):
-                none = len(over)
-                yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.array(tree[over], pa.int32()), pa.array(region[over]), pa.nulls(none, pa.int32()), pa.nulls(none, pa.bool_())], names)
+                yield rows(PAIR, np.maximum(x, y), np.minimum(x, y))
+            # of a region that turns out crowded, all rows from its first one
+            turn = place[held:][depth[held:] == window + 1]
+            since = np.concatenate([far, *[turn - back for back in range(1, window + 1)]])
+            if opening:
+                since = np.concatenate((since, place[first == 0]))
+            since = np.unique(since[since >= 0])
+            if len(since):
+                yield rows(TIE, rep[since], head_rep[since])
             last = first[-1]
-            if last > 0 or head is None:
-                head = (rep[last], n[last])
             keep = max(last, len(rep) - window)
+            before = int(depth[keep])
+            if last > 0:
+                head, opening = (rep[last], n[last]), False
             carry = [tree[keep:], region[keep:], rep[keep:], n[keep:]]
         if carry is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(carry[2][-1:]), pa.array(carry[3][-1:]), pa.array(carry[0][-1:], pa.int32()), pa.array(carry[1][-1:]), pa.array([part], pa.int32()), pa.array([True])], names)
+            yield rows(TIE, carry[2], np.full(len(carry[2]), head[0]))
+            yield border(carry[2][-1], carry[3][-1], carry[0][-1], carry[1][-1], part, True)
 
     return run
 
 
+def _shared(mine: list[np.ndarray], others: list[np.ndarray], percent: int):
+    """Links of each set of `mine` with `others`: the postings of its shingles give all
+    intersections at once."""
+    if not mine or not others:
+        return
+    size = np.array([len(x) for x in others])
+    shingle = np.concatenate(others)
+    order = np.argsort(shingle, kind="stable")
+    shingle, owner = shingle[order], np.repeat(np.arange(len(others)), size)[order]
+    for i, own in enumerate(mine):
+        lo, hi = np.searchsorted(shingle, own, "left"), np.searchsorted(shingle, own, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(others))
+        yield i, np.flatnonzero(100 * both >= percent * (len(own) + size - both))
+
+
 def _across(percent: int):
-    """Links between home rows and rows of other components, found on full sets: for a
-    home row the postings of its shingles give all intersections at once. Returns a
-    forest that spans the links."""
+    """Links between rows of different components, of which one at least is not the
+    family's largest; returns a forest that spans them."""
 
     def run(table: pa.Table) -> pa.Table:
-        home = table.column("home").to_numpy(zero_copy_only=False)
+        left = table.column("left").to_numpy(zero_copy_only=False)
+        small = table.column("small").to_numpy(zero_copy_only=False)
         rep, comp = table.column("rep").to_numpy(), table.column("comp").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-        mine, others = np.flatnonzero(home), np.flatnonzero(~home)
-        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
-        if len(mine) and len(others):
-            size = np.array([len(sets[i]) for i in others.tolist()])
-            shingle = np.concatenate([sets[i] for i in others.tolist()])
-            order = np.argsort(shingle, kind="stable")
-            shingle, owner = shingle[order], np.repeat(np.arange(len(others)), size)[order]
-            found = []
-            for i in mine.tolist():
-                lo, hi = np.searchsorted(shingle, sets[i], "left"), np.searchsorted(shingle, sets[i], "right")
-                n = hi - lo
-                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                shared = np.bincount(owner[at], minlength=len(others))
-                ok = (100 * shared >= percent * (len(sets[i]) + size - shared)) & (comp[others] != comp[i])
-                found.append((np.full(ok.sum(), rep[i]), rep[others[ok]]))
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            if len(a):
-                a, b = forest(a, b)
+        alone = left.all()  # a block with itself
+        found = []
+        for mine, others in ((left & small, np.ones(len(rep), bool) if alone else ~left), (~left & small, left & ~small)):
+            mine, others = np.flatnonzero(mine), np.flatnonzero(others)
+            for i, j in _shared([sets[i] for i in mine.tolist()], [sets[i] for i in others.tolist()], percent):
+                j = others[j][comp[others[j]] != comp[mine[i]]]
+                found.append((np.full(len(j), rep[mine[i]]), rep[j]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+        if len(a):
+            a, b = forest(a, b)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -241,7 +271,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: i
     `docs` with all their columns (one row of each component) instead."""
     spark = docs.sparkSession
     least = percent / 100
-    prints = settle(docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(_fingerprints(size), "doc_id long, row long, n_shingles long, name binary, sig binary, small binary"), "prints", owner)
+    prints = settle(docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(kernel(_fingerprints(size)), "doc_id long, row long, n_shingles long, name binary, sig binary, small binary"), "prints", owner)
     classes = settle(prints.where("name is not null and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("small").alias("small")).withColumn("least", F.col("rep")), "classes", owner)
     n_classes, n_reps = classes.agg(F.count("*"), F.count_distinct("rep")).first()
     if n_classes > n_reps:  # doc_ids with several texts: a number for each class instead
@@ -249,12 +279,12 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: i
 
     # with few rows a partition the borders are many; a region needs no more tasks
     parts = shuffle_parts(spark)
-    rows = classes.select("rep", "n", "sig").mapInArrow(_tree_rows, "tree int, region long, deeper long, rep long, n long")
+    rows = classes.select("rep", "n", "sig").mapInArrow(kernel(_tree_rows), "tree int, region long, deeper long, rep long, n long")
     ordered = rows.repartitionByRange(parts, "tree", "region", "deeper", "rep").sortWithinPartitions("tree", "region", "deeper", "rep").withColumn("part", F.spark_partition_id())
-    found = settle(ordered.mapInArrow(_neighbours(window, least), "a long, b long, tree int, region long, part int, last boolean"), "neighbours", owner)
-    border = {(r["part"], r["last"]): r for r in found.where("part is not null").select("a", "b", "tree", "region", "part", "last").collect()}
+    found = settle(ordered.mapInArrow(kernel(_neighbours(window, least)), "kind byte, a long, b long, tree int, region long, part int, last boolean"), "neighbours", owner)
+    border = {(r["part"], r["last"]): r for r in found.where(F.col("kind") == BORDER).select("a", "b", "tree", "region", "part", "last").collect()}
     ends = sorted({p for p, _ in border})
-    across, heads = [], None
+    across, tied, heads = [], [], None
     for p, q in zip(ends, ends[1:], strict=False):
         u, v = border[p, True], border[q, False]
         if (u["tree"], u["region"]) != (v["tree"], v["region"]):
@@ -264,17 +294,15 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: i
         whole = (f["tree"], f["region"]) == (u["tree"], u["region"])
         heads = heads if whole and heads is not None else (f if whole else u)
         across += [(max(x["a"], v["a"]), min(x["a"], v["a"])) for x in {u["a"]: u, heads["a"]: heads}.values() if x["a"] != v["a"]]
+        tied.append((u["a"], v["a"]))
         if (border[q, True]["tree"], border[q, True]["region"]) != (v["tree"], v["region"]):
             heads = None
-    split = [(u["tree"], u["region"]) for p, q in zip(ends, ends[1:], strict=False) for u in [border[p, True]] if (u["tree"], u["region"]) == (border[q, False]["tree"], border[q, False]["region"])]
-    crowded = found.where("a is null").select("tree", "region")
-    if split:
-        crowded = crowded.union(spark.createDataFrame(split, "tree int, region long"))
-    crowded = settle(crowded.distinct(), "crowded", owner)
-    pairs = found.where("part is null and a is not null").select("a", "b").union(spark.createDataFrame(across or [(0, 0)], "a long, b long").where("a <> b"))
+    few_edges = lambda rows: spark.createDataFrame(rows or [(0, 0)], "a long, b long").where("a <> b")
+    ties = found.where(F.col("kind") == TIE).select("a", "b").where("a <> b").union(few_edges(tied))
+    pairs = found.where(F.col("kind") == PAIR).select("a", "b").union(few_edges(across))
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
     small = classes.select(F.col("rep").alias("id"), "small")
-    alike = counted.join(small.select(F.col("id").alias("a"), F.col("small").alias("x")), "a").join(small.select(F.col("id").alias("b"), F.col("small").alias("y")), "b").select("a", "b", "n", "x", "y").mapInArrow(_alike(floor_of(least)), "a long, b long, n long").groupBy("a", "b").agg(F.max("n").alias("n"))
+    alike = counted.join(small.select(F.col("id").alias("a"), F.col("small").alias("x")), "a").join(small.select(F.col("id").alias("b"), F.col("small").alias("y")), "b").select("a", "b", "n", "x", "y").mapInArrow(kernel(_alike(floor_of(least))), "a long, b long, n long").groupBy("a", "b").agg(F.max("n").alias("n"))
     turn = Window.partitionBy("a").orderBy(F.col("n").desc(), "b")
     ranked = settle(alike.withColumn("turn", F.row_number().over(turn)), "pairs", owner)
 
@@ -292,12 +320,12 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: i
         if few:
             wanted = F.broadcast(wanted)
         mine = docs.select(F.col("doc_id").alias("least"), "text").join(wanted.select("least"), "least", "left_semi").select(F.col("least").alias("doc_id"), "text")
-        sets = mine.mapInArrow(full_sets, "least long, name binary, set binary").where("length(set) > 0")
+        sets = mine.mapInArrow(kernel(full_sets), "least long, name binary, set binary").where("length(set) > 0")
         return settle(sets.join(wanted, ["least", "name"]).select(F.col("rep").alias("id"), "set"), "sets", owner)
 
     def linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
         left, right = full.select(F.col("id").alias("a"), F.col("set").alias("x")), full.select(F.col("id").alias("b"), F.col("set").alias("y"))
-        return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long")
+        return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(kernel(_confirmed(percent)), "a long, b long")
 
     def component_of(c: str) -> DataFrame:
         return comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
@@ -314,22 +342,31 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: i
         comp = components(sure if comp is None else sure.union(comp.select("node", "component")), owner)
 
     # what the window does not cover: families of crowded regions with several components
-    if not crowded.isEmpty():
-        few = F.broadcast(crowded) if crowded.count() <= BROADCAST_IDS // 2 else crowded
-        rows = settle(classes.select("rep", "n", "sig").mapInArrow(_tree_rows, "tree int, region long, deeper long, rep long, n long").join(few, ["tree", "region"]).select("tree", "region", "rep"), "crowded-rows", owner)
-        heads = rows.groupBy("tree", "region").agg(F.min("rep").alias("b"))
-        family = components(rows.join(heads, ["tree", "region"]).select(F.col("rep").alias("a"), "b"), owner)
-        own = rows.select("rep").distinct().join(family, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("family"))
-        own = settle(own.join(component_of("rep"), "rep", "left").select("rep", "family", F.coalesce("crep", "rep").alias("comp")), "families", owner)
-        parts_of = own.groupBy("family", "comp").agg(F.count("*").alias("n"))
-        several = parts_of.groupBy("family").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps"), F.sum("n").alias("n")).where("comps > 1").select("family", F.col("most.comp").alias("largest"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        own = settle(own.join(several, "family"), "families", owner)
-        if not own.isEmpty():
-            both = sets_of(own.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-            with_sets = own.join(both, F.col("rep") == F.col("id")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            sides = with_sets.where("comp <> largest").select("family", F.col("salt").alias("i"), F.col("other").alias("j"), "rep", "comp", "set", F.lit(True).alias("home")).union(with_sets.select("family", F.col("other").alias("i"), F.col("salt").alias("j"), "rep", "comp", "set", F.lit(False).alias("home")))
-            more = settle(sides.groupBy("family", "i", "j").applyInArrow(_across(percent), "a long, b long"), "more", owner)
-            comp = components(more.union(comp.select("node", "component")), owner)
+    family = components(ties, owner)
+    members = family.select(F.col("node").alias("rep"), F.col("component").alias("family")).union(family.select("component", "component").distinct())
+    own = settle(members.join(component_of("rep"), "rep", "left").select("rep", "family", F.coalesce("crep", "rep").alias("comp")), "families", owner)
+    parts_of = own.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    several = parts_of.groupBy("family").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select("family", F.col("most.comp").alias("largest"))
+    step = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int")
+    own = settle(own.join(several, "family").join(classes.select("rep", "n"), "rep").select("rep", "family", "comp", (F.col("comp") != F.col("largest")).alias("small"), step.alias("step")), "several", owner)
+    if not own.isEmpty():
+        blocks = settle(own.groupBy("family", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks", owner)
+        above, below = blocks.select("family", (F.col("step") - 1).alias("step"), F.col("blocks").alias("up")), blocks.select("family", (F.col("step") + 1).alias("step"), F.col("blocks").alias("down"))
+        blocks = blocks.join(above, ["family", "step"], "left").join(below, ["family", "step"], "left").na.fill(0)
+        blocks = F.broadcast(blocks) if blocks.count() <= BROADCAST_IDS // 4 else blocks
+        both = sets_of(own.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+        with_sets = own.join(both, F.col("rep") == F.col("id")).join(blocks, ["family", "step"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+
+        def turns(n, left: bool, upper: int, i, j):
+            """Block pairs of a row, `upper` steps from the lower one, for each x below n."""
+            each = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(F.lit(left).alias("left"), (F.col("step") - (0 if left else upper)).alias("lower"), F.lit(upper).alias("upper"), i(x).cast("int").alias("i"), j(x).cast("int").alias("j")))
+            return F.when(n > 0, each).otherwise(F.array().cast("array<struct<left:boolean,lower:int,upper:int,i:int,j:int>>"))
+
+        salt = F.col("salt")
+        roles = F.concat(turns(F.col("blocks") - salt, True, 0, lambda x: salt, lambda x: salt + x), turns(salt, False, 0, lambda x: x, lambda x: salt), turns(F.col("up"), True, 1, lambda x: salt, lambda x: x), turns(F.col("down"), False, 1, lambda x: x, lambda x: salt))
+        sides = with_sets.select("family", "rep", "comp", "small", "set", F.inline(roles)).repartition("family", "lower", "upper", "i", "j")
+        more = settle(sides.groupBy("family", "lower", "upper", "i", "j").applyInArrow(_across(percent), "a long, b long"), "more", owner)
+        comp = components(more.union(comp.select("node", "component")), owner)
     rep = classes.select("name", "rep", "least").join(comp, F.col("rep") == F.col("node"), "left").select("name", "least", F.coalesce("component", "rep").alias("of"))
     if n_classes > n_reps:
         rep = settle(rep, "named", owner)

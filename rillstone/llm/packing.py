@@ -14,7 +14,8 @@ ids or documents.
 
 Defined results: a null text is an empty one and an empty document is its end id
 alone; repeated rows are packed each; null doc_ids are packed like others; an empty
-table gives no pieces; further columns are ignored.
+table gives no pieces; very long texts are encoded whole and cut into full pieces; the
+strings of special tokens in a text get those tokens' ids; further columns are ignored.
 """
 
 from __future__ import annotations

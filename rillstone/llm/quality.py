@@ -1,17 +1,18 @@
 """Quality classifier from weak labels.
 
 Six heuristic labellers vote good, bad or nothing on every document. Expectation-
-maximisation (each labeller votes independently given the hidden class) estimates the
-share of good documents and each labeller's rates; it runs on the counts of vote
-patterns over all documents, at most 3^6 rows. The posterior of a document's pattern
-labels a bounded sample, on which a linear scorer over hashed features (shapes of
-words, repetition of words, marks) is trained by logistic loss. The scorer then judges
-every whole text; a text with a score below 0.5 is rejected. Texts under ten words have
-too few features for it; their score is the posterior of their votes.
-
-Defined results: a null text, or one without a word, has score 0 and is rejected;
-repeated rows are judged each; with no documents the scorer is empty; null doc_ids are
-judged, but not sampled; further columns are ignored.
+maximisation (each labeller votes independently given the hidden class; not to vote says
+nothing) estimates the share of good documents and each labeller's rates; it runs on the
+counts of vote patterns over all documents, at most 3^6 rows. The posterior of a
+document's pattern is its soft label. On a sample of about `sample` documents with these
+labels a linear scorer over hashed features (shapes of words, repetition of words,
+marks) is trained by logistic loss. The scorer alone then judges every whole text; a
+text with a score below 0.5 is rejected.
+
+Defined results: a null text, or one without a word, has score 0 and is rejected; a
+score of just 0.5 accepts; repeated rows are judged each; an empty table gives no rows
+and an empty scorer; null doc_ids are judged like others; very long texts are read
+whole, in slices of an Arrow batch; further columns are ignored (`keep_accepted`: kept).
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 
 from .chunks import text_slices
 from .wordhash import mix, span_hashes, words
+from .worker import kernel
 
 LABELLERS = ("marks", "capitals", "repeats", "word_length", "short_words", "variety")
 BITS = 14
-FEW = 10
 
 # classes of bytes in a word's shape: lower, upper, digit, common and other marks
 _SHAPE = np.full(256, ord("#"), np.uint8)
@@ -89,21 +90,21 @@ def votes(f: Facts) -> np.ndarray:
 
 def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
     """By EM: the posterior probability of good for each vote pattern, the share of
-    good documents, and each labeller's rates (class good or bad; vote -1, 0, +1).
+    good documents, and each labeller's rates among those it votes on (class good or
+    bad; vote -1, 0, +1, where 0 has rate 1).
 
     Starts from the votes for bad, of which two outweigh all others: a labeller looks
     for one kind of fault and finds none in texts with another. Rates are smoothed by
-    one pseudo-document for each outcome.
+    one pseudo-document for each vote.
     """
     n = patterns.shape[1]
     good = np.choose(np.minimum((patterns == -1).sum(1), 2), [0.9, 0.5, 0.1])
-    share, rates = 0.5, np.full((2, n, 3), 1 / 3)
+    share, rates = 0.5, np.ones((2, n, 3))
     for _ in range(rounds):
         share = float((counts @ good + 1) / (counts.sum() + 2))
-        for j in range(n):
-            for c, weight in enumerate((good, 1 - good)):
-                seen = np.array([counts @ (weight * (patterns[:, j] == v)) + 1 for v in (-1, 0, 1)])
-                rates[c, j] = seen / seen.sum()
+        for c, weight in enumerate((good, 1 - good)):
+            seen = np.array([[counts @ (weight * (patterns[:, j] == v)) + 1 for v in (-1, 1)] for j in range(n)])
+            rates[c][:, [0, 2]] = seen / seen.sum(1, keepdims=True)
         new = posterior_of(patterns, share, rates)
         if np.abs(new - good).max(initial=0) < 1e-9:
             break
@@ -111,11 +112,8 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -
     return good, share, rates
 
 
-def posterior_of(votes: np.ndarray, share: float, rates: np.ndarray, silent: bool = False) -> np.ndarray:
-    """Probability of good; `silent`: an abstention says nothing (as of a short text)."""
-    if silent:
-        rates = rates / (rates[:, :, :1] + rates[:, :, 2:])
-        rates[:, :, 1] = 1
+def posterior_of(votes: np.ndarray, share: float, rates: np.ndarray) -> np.ndarray:
+    """Probability of good."""
     log = np.log(rates)[:, np.arange(votes.shape[1]), votes.astype(np.int64) + 1].sum(2)
     return 1 / (1 + np.exp(np.clip(log[1] + np.log1p(-share) - log[0] - np.log(share), -700, 700)))
 
@@ -173,17 +171,14 @@ def scores(texts: list[str | None], scorer: Scorer) -> np.ndarray:
     f, weight = Facts(texts), scorer.weight
     text, bucket, value = features(f)
     z = np.bincount(text, weight[bucket] * np.sqrt(value), minlength=len(texts))
-    out = np.where(f.n > 0, 1 / (1 + np.exp(-np.clip(z, -500, 500))), 0.0)
-    few = np.flatnonzero((f.n > 0) & (f.n < FEW))
-    if len(few):
-        out[few] = posterior_of(votes(Facts([texts[i] for i in few.tolist()])), scorer.share, scorer.rates, silent=True)
-    return out
+    return np.where(f.n > 0, 1 / (1 + np.exp(-np.clip(z, -500, 500))), 0.0)
 
 
 def fit(docs: DataFrame, sample: int = 6000) -> Scorer:
-    """The linear scorer, with the labellers' rates. All documents count for the labellers; the scorer
-    is trained on about `sample` of them, drawn by a hash of doc_id (features of at
-    most 2 * sample documents reach the driver)."""
+    """The linear scorer, with the labellers' rates. All documents count for the
+    labellers; the scorer is trained on about `sample` of them, drawn by a hash of
+    doc_id and text. Features of at most 2 * sample reach the driver, those of the least
+    hashes (more are drawn only where many rows are equal)."""
 
     def count(batches):
         total: dict[tuple[int, ...], int] = {}
@@ -195,7 +190,7 @@ def fit(docs: DataFrame, sample: int = 6000) -> Scorer:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in total], pa.list_(pa.int32())), pa.array(list(total.values()), pa.int64())], ["votes", "n"])
 
-    found = docs.select("text").mapInArrow(count, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
+    found = docs.select("text").mapInArrow(kernel(count), "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
     found.sort(key=lambda r: r["votes"])
     kinds = np.array([r["votes"] for r in found], np.int64).reshape(-1, len(LABELLERS))
     counts = np.array([r["n"] for r in found], float)
@@ -207,15 +202,14 @@ def fit(docs: DataFrame, sample: int = 6000) -> Scorer:
         for batch in batches:
             for lo, hi, texts in text_slices(batch.column("text"), 500_000):
                 f = Facts(texts)
-                y = np.array([posterior.get(tuple(v), 0.5) for v in votes(f).tolist()])
+                y = np.array([posterior[tuple(v)] for v in votes(f).tolist()])
                 text, bucket, value = features(f)
                 cuts = np.searchsorted(text, np.arange(hi - lo + 1))
-                some = [i for i in range(hi - lo) if f.n[i] and abs(y[i] - 0.5) > 0.2]
-                yield pa.RecordBatch.from_arrays([pa.array([bucket[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes() for i in some], pa.binary()), pa.array([value[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary()), pa.array(y[some])], ["b", "v", "y"])
+                some = np.flatnonzero(f.n).tolist()
+                yield pa.RecordBatch.from_arrays([batch.column("h").slice(lo, hi - lo).take(pa.array(some, pa.int64())), pa.array([bucket[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes() for i in some], pa.binary()), pa.array([value[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary()), pa.array(y[some])], ["h", "b", "v", "y"])
 
-    drawn = docs.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < int(part * (1 << 30)))
-    rows = drawn.select("text").mapInArrow(learn, "b binary, v binary, y double").limit(2 * sample).collect()
-    rows.sort(key=lambda r: (bytes(r["b"]), bytes(r["v"])))
+    drawn = docs.select("text", F.xxhash64("doc_id", "text", F.lit(8)).alias("h")).where(F.pmod("h", F.lit(1 << 30)) < int(part * (1 << 30)))
+    rows = drawn.select("h", "text").mapInArrow(kernel(learn), "h long, b binary, v binary, y double").orderBy("h", "b", "v").limit(2 * sample).collect()
     weight = train([(np.frombuffer(r["b"], np.int32), np.frombuffer(r["v"])) for r in rows], np.array([r["y"] for r in rows]))
     return Scorer(weight, share, rates)
 
@@ -230,7 +224,7 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
                 s = scores(texts, shared.value)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(s), pa.array(s >= 0.5)], ["doc_id", "score", "accepted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, accepted boolean")
+    return docs.select("doc_id", "text").mapInArrow(kernel(run), "doc_id long, score double, accepted boolean")
 
 
 def keep_accepted(docs: DataFrame, scorer: Scorer) -> DataFrame:
@@ -242,4 +236,4 @@ def keep_accepted(docs: DataFrame, scorer: Scorer) -> DataFrame:
             for lo, hi, texts in text_slices(batch.column("text"), 500_000):
                 yield batch.slice(lo, hi - lo).filter(pa.array(scores(texts, shared.value) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(kernel(run), docs.schema)

@@ -10,7 +10,9 @@ document instead of 64.
 
 Defined results: a null text is an empty one; an empty text has only the end id;
 repeated rows and repeated or null doc_ids are kept, in order of doc_id then text;
-an empty table gives an empty file set; further columns are ignored.
+an empty table gives an empty file set; very long texts are encoded whole; the strings
+of special tokens in a text get those tokens' ids, as the library has it; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import drop_coders, library_coder, text_slices, vocabulary_size, with_end
-from .common import scratch, shuffle_parts
+from .common import keep_until_exit, scratch, shuffle_parts
 from .worker import kernel
 
 SAMPLE = 256
@@ -168,4 +170,5 @@ def read_token_files(spark, path: str, digest_only: bool = False) -> DataFrame:
 def op1_query(spark, docs: DataFrame, tokenizer: str) -> DataFrame:
     path = scratch(spark, "token-files")
     write_token_files(docs, path, tokenizer)
+    keep_until_exit(spark, path)
     return read_token_files(spark, path, digest_only=True)

@@ -2,20 +2,23 @@
 
 Inner product becomes a metric by one more coordinate: a row x is (x, sqrt(M^2-|x|^2))
 with M the largest norm, a query q is (q, 0); then distance falls as the product grows.
-Pivots of a bounded sample cut the rows into cells, and cells into blocks of about
-`block` rows. First each query is answered within one block of its nearest cell, which
-gives a lower bound of its k-th score. Then it visits the blocks of those cells only
-whose covering radius does not exclude a better row. A block is an M-tree: pages of
-entries with covering radii and stored distances to the parent; the search takes pages
-best first and skips an entry without computing its distance where the stored
-distances and the triangle inequality exclude it. Queries come in blocks too, so a
-task holds a block of rows and a block of queries, whatever the size of the table.
+Pivots of a bounded sample cut the rows into cells, as many as there are blocks of rows
+(`cells` at most), and cells into blocks of about `block` rows. First each query is
+answered within one block of its nearest cell, which gives a lower bound of its k-th
+score. Then it visits the blocks of those cells only whose covering radius does not
+exclude a better row. A block is an M-tree: pages of entries with covering radii and
+stored distances to the parent; the search takes pages best first and skips an entry
+without computing its distance where the stored distances and the triangle inequality
+exclude it. A block goes to as many tasks as its queries ask for, one for about each
+`query_block` of them, and to none if no query visits it; so a task holds a block of
+rows and a block of queries, whatever the size of the table.
 
 Defined results: vectors that are null or hold a null or non-finite component take no
 part; vectors of unequal length count as padded with zeros, so an empty one scores 0;
 rows with the query's own vec_id are no candidates; ties go to the smaller vec_id, and
 repeated rows take a rank each; of a query id with several vectors the first in byte
-order asks. A null vec_id is a candidate after all others with its
+order asks; an empty table gives none; further columns are ignored. A null vec_id is a
+candidate after all others with its
 score, never a query. A score that does not fit 64 bits raises OverflowError.
 """
 
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import settle
 from .vectors import farthest_first, finite_rows
+from .worker import kernel
 
 PAGE = 128
 FAR = np.iinfo(np.int64).max
@@ -137,10 +141,10 @@ class MTree:
         return sorted(best, reverse=True)
 
 
-def top_inner_products(vectors: DataFrame, k: int = 10, scale: float = 1024.0, every: int = 100, block: int = 4096, query_block: int = 4096, sample: int = 4096, cells: int = 64, owner: str = "") -> DataFrame:
+def top_inner_products(vectors: DataFrame, k: int = 10, scale: float = 1024.0, every: int = 100, block: int = 4096, query_block: int = 4096, sample: int = 4096, cells: int = 1024, owner: str = "") -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each query, the rows whose
-    vec_id is divisible by `every`. The driver sees a sample of at most 2 * `sample`
-    rows and the statistics of at most `cells` cells."""
+    vec_id is divisible by `every`. The driver sees a sample of at most twice `sample`,
+    or 16 * `cells`, rows and the statistics of at most `cells` cells."""
     spark = vectors.sparkSession
 
     def whole(batches):
@@ -150,16 +154,18 @@ def top_inner_products(vectors: DataFrame, k: int = 10, scale: float = 1024.0, e
             keep = np.flatnonzero(ok)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(keep)), pa.array([x[ends[i] : ends[i + 1]].tobytes() for i in keep.tolist()], pa.binary())], ["vec_id", "x"])
 
-    rows = settle(vectors.select("vec_id", "embedding").mapInArrow(whole, "vec_id long, x binary"), "whole", owner)
+    rows = settle(vectors.select("vec_id", "embedding").mapInArrow(kernel(whole), "vec_id long, x binary"), "whole", owner)
     n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.length("x")), F.lit(0))).first()
     width = max(1, width // 8)
 
     def load(raw: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(r.ljust(8 * width, b"\0") for r in raw), np.float64).reshape(len(raw), width)
 
+    cells = max(1, min(cells, n // block))
+    sample = max(sample, 8 * cells)
     part = min(1.0, sample / max(n, 1))
-    picked = rows.where(F.pmod(F.xxhash64("vec_id", "x"), F.lit(1 << 30)) < int(part * (1 << 30))).select("x").limit(2 * sample).collect()
-    pivots = farthest_first(load([bytes(r["x"]) for r in picked]), max(1, min(cells, n // block))) if picked else np.zeros((1, width))
+    picked = rows.where(F.pmod(F.xxhash64("vec_id", "x"), F.lit(1 << 30)) < int(part * (1 << 30))).select("vec_id", "x").orderBy(F.xxhash64("vec_id", "x"), "x").limit(2 * sample).collect()
+    pivots = farthest_first(load([bytes(r["x"]) for r in picked]), cells) if picked else np.zeros((1, width))
 
     def place(batches):
         for batch in batches:
@@ -169,10 +175,8 @@ def top_inner_products(vectors: DataFrame, k: int = 10, scale: float = 1024.0, e
             d = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), pa.array(cell.astype(np.int32)), pa.array(d), pa.array(np.sqrt((x * x).sum(1)))], ["vec_id", "x", "cell", "d", "norm"])
 
-    placed = settle(rows.mapInArrow(place, "vec_id long, x binary, cell int, d double, norm double"), "placed", owner)
+    placed = settle(rows.mapInArrow(kernel(place), "vec_id long, x binary, cell int, d double, norm double"), "placed", owner)
     stats = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("radius"), F.max("norm").alias("norm")).collect()}
-    n_queries = placed.where(F.pmod("vec_id", F.lit(every)) == 0).count()
-    q_blocks = max(1, -(-n_queries // query_block))
     known = sorted(stats)
     salts = {c: max(1, -(-stats[c]["n"] // block)) for c in known}
     radius, norms = np.array([stats[c]["radius"] for c in known]), np.array([stats[c]["norm"] for c in known])
@@ -181,7 +185,7 @@ def top_inner_products(vectors: DataFrame, k: int = 10, scale: float = 1024.0, e
     salt_of = F.create_map(*[F.lit(v) for c in known for v in (c, salts[c])]) if known else F.create_map(F.lit(0), F.lit(1))
     data = placed.select("vec_id", "x", "cell", F.pmod(F.xxhash64("vec_id", "x"), salt_of[F.col("cell")]).cast("int").alias("salt"))
     asking = data.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min(F.struct("x", "cell", "salt")).alias("s"))
-    queries = asking.select(F.col("vec_id").alias("q_id"), F.col("s.x").alias("q"), F.col("s.cell").alias("cell"), F.col("s.salt").alias("salt")).withColumn("qb", F.pmod(F.xxhash64("q_id", F.lit(1)), F.lit(q_blocks)).cast("int"))
+    queries = asking.select(F.col("vec_id").alias("q_id"), F.col("s.x").alias("q"), F.col("s.cell").alias("cell"), F.col("s.salt").alias("salt"))
 
     def best_in_block(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int | None, int]] = []
@@ -198,11 +202,19 @@ def top_inner_products(vectors: DataFrame, k: int = 10, scale: float = 1024.0, e
 
     keys = ["cell", "salt", "qb"]
 
-    def ask(asked: DataFrame) -> DataFrame:
-        spread = data.select("*", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    def ask(asked: DataFrame, salted: bool) -> DataFrame:
+        """Queries of cells (`salted`: of one block each) meet the blocks that they visit."""
+        visits = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        turns = {c: max(1, -(-n // (query_block * (salts[c] if salted else 1)))) for c, n in visits.items()} or {0: 1}
+        turns_of = F.create_map(*[F.lit(v) for pair in sorted(turns.items()) for v in pair])
+        spread = data.where(F.col("cell").isin(sorted(turns))).select("*", F.explode(F.sequence(F.lit(0), turns_of[F.col("cell")] - 1)).alias("qb"))
+        if not salted:
+            asked = asked.select("*", F.explode(F.sequence(F.lit(0), salt_of[F.col("cell")] - 1)).alias("salt"))
+        asked = asked.withColumn("qb", F.pmod(F.xxhash64("q_id", F.lit(1)), turns_of[F.col("cell")]).cast("int"))
         return spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(best_in_block, "query_id long, vec_id long, score long")
 
-    first = ask(queries.withColumn("floor", F.lit(None).cast("long")))
+    queries = settle(queries, "queries", owner)
+    first = ask(queries.withColumn("floor", F.lit(None).cast("long")), True)
     floors = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("q_id"), "floor")
 
     def route(batches):
@@ -214,11 +226,10 @@ def top_inner_products(vectors: DataFrame, k: int = 10, scale: float = 1024.0, e
             top = np.minimum(q @ centre.T + length[:, None] * radius, length[:, None] * norms)
             i, c = np.nonzero(top * (1 + 1e-9) + 1e-6 * (1 + np.abs(top)) >= floor[:, None])
             idx = pa.array(i)
-            yield pa.RecordBatch.from_arrays([batch.column("q_id").take(idx), batch.column("q").take(idx), batch.column("qb").take(idx), batch.column("floor").take(idx), pa.array(np.array(known, np.int32)[c])], ["q_id", "q", "qb", "floor", "cell"])
+            yield pa.RecordBatch.from_arrays([batch.column("q_id").take(idx), batch.column("q").take(idx), batch.column("floor").take(idx), pa.array(np.array(known, np.int32)[c])], ["q_id", "q", "floor", "cell"])
 
-    routed = queries.select("q_id", "q", "qb").join(floors, "q_id", "left").select("q_id", "q", "qb", "floor").mapInArrow(route, "q_id long, q binary, qb int, floor long, cell int")
-    spread = routed.select("*", F.explode(F.sequence(F.lit(0), salt_of[F.col("cell")] - 1)).alias("salt"))
-    found = ask(spread)
+    routed = settle(queries.select("q_id", "q").join(floors, "q_id", "left").select("q_id", "q", "floor").mapInArrow(kernel(route), "q_id long, q binary, floor long, cell int"), "routed", owner)
+    found = ask(routed, False)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -139,13 +139,17 @@ def test_neighbours_over_batch_borders():
         cuts = sorted({0, len(rows), *[rng.randrange(len(rows) + 1) for _ in range(5)]})
         batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int32()), *[pa.array([x[c] for x in own], pa.int64()) for c in (1, 2, 3)], pa.array([0] * len(own), pa.int32())], ["tree", "region", "rep", "n", "part"]) for own in (rows[a:b] for a, b in zip(cuts, cuts[1:]))]
         out = [r for b in minhash._neighbours(window, 0.8)(batches) for r in b.to_pylist()]
-        pairs = {(r["a"], r["b"]) for r in out if r["part"] is None and r["a"] is not None}
-        crowded = {(r["tree"], r["region"]) for r in out if r["a"] is None}
+        pairs = {(r["a"], r["b"]) for r in out if r["kind"] == minhash.PAIR}
+        ties = {(r["a"], r["b"]) for r in out if r["kind"] == minhash.TIE}
         groups = defaultdict(list)
         for t, r, rep, _ in rows:
             groups[t, r].append(rep)
         assert {(v[i], v[j]) for v in groups.values() for i in range(len(v)) for j in range(i) if i - j <= window or j == 0} <= pairs
-        assert {k for k, v in groups.items() if len(v) > window + 1} <= crowded and all(len(groups[k]) > window for k in crowded)
+        own = list(groups.values())
+        tied = [v for v in own if len(v) > window + 1 or v is own[0] or v is own[-1]]
+        assert {(x, v[0]) for v in tied for x in v[1:]} <= ties <= {(x, v[0]) for v in tied for x in v}
+        borders = [(r["a"], r["last"]) for r in out if r["kind"] == minhash.BORDER]
+        assert borders == ([(rows[0][2], False), (rows[-1][2], True)] if rows else [])
 
 
 def test_words_and_shingles():
@@ -309,6 +313,23 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_line_dedup_columns_with_clashing_names(spark):
+    t = "\n".join(f"line {j} of some words" for j in range(40))
+    rows = [(i, t, 10 + i, "r", 5, 6, len(t)) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone int, runs string, lines_kept long, __part int, n_chars int")
+    plain = line_dedup.dedup_lines(df, passages=True)
+    assert plain.columns == df.columns
+    got = plain.orderBy("doc_id").collect()
+    assert [(r.gone, r.runs, r.lines_kept) for r in got] == [(10, "r", 5), (11, "r", 5)] and got[0].text == t and len(got[1].text) == got[1].n_chars < len(t)
+    assert line_dedup.dedup_lines(df, stats=True).columns.count("lines_kept") == 1
+
+
+def test_long_lines_are_a_parameter():
+    text = "a\n" + "w " * 60 + "\nb"
+    assert [n for n, _, _ in line_dedup.chunks(text)] == [1, 1, 1]
+    assert [n for n, _, _ in line_dedup.chunks(text, None)][0] > 1
+
+
 def test_line_dedup_repeated_rows(spark):
     t = "\n".join(f"line {i} of it" for i in range(12))
     got = [r.text for r in line_dedup.dedup_lines(docs(spark, [(1, t), (1, t), (None, t), (None, t)])).orderBy("doc_id").collect()]
@@ -336,6 +357,7 @@ def brute_passages(texts):
 @pytest.mark.parametrize("broadcast", [1_000_000, 0])
 def test_line_dedup_short_passages(spark, monkeypatch, broadcast):
     monkeypatch.setattr(line_dedup, "BROADCAST_MARKS", broadcast)
+    monkeypatch.setattr(line_dedup, "BROADCAST_GROUPS", broadcast)
     rng = random.Random(9)
     line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
     passages = [[line(-(-51 // n) + rng.randrange(12)) for _ in range(n)] for n in (2, 3, 4, 5, 6) for _ in range(6)]
@@ -389,7 +411,7 @@ def test_language_id(spark):
 
 
 def test_language_cache_is_bounded():
-    m = language_id.Model(["a", "b"], {"x": [5, 1], "y": [1, 5]}, {1: {"x": [5, 1], "y": [1, 5]}})
+    m = language_id.Model(["a", "b"], {"x": [5, 1], "y": [1, 5]}, {"x": [5, 1], "y": [1, 5]})
     for i in range(5):
         lang, _ = m.predict([" ".join(f"x{chr(97 + i)}{chr(97 + j)}" for j in range(20)), "y " * 5, "z" * 400], cap=30)
         assert lang[:2] == ["a", "b"] and len(m.codes) <= 30
