@@ -15,10 +15,10 @@ ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable on the executors, once for each application, and
-    bound Arrow batches to 16 MB where the session does not say otherwise."""
+    bound Arrow batches to 4 MB where the session does not say otherwise."""
     sc = spark.sparkContext
     if not sc.getConf().contains(ARROW_BYTES):
-        spark.conf.set(ARROW_BYTES, 16 << 20)
+        spark.conf.set(ARROW_BYTES, 4 << 20)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
