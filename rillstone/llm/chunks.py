@@ -213,23 +213,25 @@ class _Library:
         return np.concatenate([x for x, _ in out]), np.concatenate([n for _, n in out])
 
 
-_coders: dict[tuple[str, str, bool], ChunkCoder] = {}
+#: Chunks that a worker keeps with their ids, about 150 bytes each.
+CACHE = 500_000
+_coders: dict[tuple[str, str, bool, int], ChunkCoder] = {}
 
 
 def drop_coders() -> None:
     _coders.clear()
 
 
-def library_coder(path: str, kind: str, special_as_text: bool = False) -> ChunkCoder:
+def library_coder(path: str, kind: str, special_as_text: bool = False, cache: int = CACHE) -> ChunkCoder:
     """The process's coder over a file of the tokenizers library; kind: blanks or words.
 
     Strings of special tokens in a text get their ids, as the library does it, unless
-    `special_as_text`. Kernels that use it name it as their caches (`worker.kernel`).
+    `special_as_text`. `cache` bounds memory, ids don't depend on it. Kernels that use it name it as their caches (`worker.kernel`).
     """
-    key = path, kind, special_as_text
+    key = path, kind, special_as_text, cache
     if key not in _coders:
-        own = _Library(*key)
-        _coders[key] = ChunkCoder(own.encode, own.split)
+        own = _Library(path, kind, special_as_text)
+        _coders[key] = ChunkCoder(own.encode, own.split, cache)
     return _coders[key]
 
 

@@ -91,7 +91,7 @@ class Model:
         self.__dict__.update(state)
         self.restart()
 
-    def restart(self, cap: int = 200_000) -> None:
+    def restart(self, cap: int = 100_000) -> None:
         """Forget the sums of chunks; at most `cap` are kept."""
         self.codes = Lexicon(cap, 200)
         self.rows = np.zeros((1 << 10, len(self.langs) + 1))
@@ -121,7 +121,7 @@ class Model:
                 owner += [i] * len(found)
                 place += found
                 share += [1 / len(found)] * len(found)
-        weighted = self.table[place] * np.array(share)[:, None]
+        weighted = self.table[np.array(place, np.int64)] * np.array(share)[:, None]
         for j in range(len(self.langs)):
             out[:, j] = np.bincount(owner, weighted[:, j], minlength=len(chunks)) if owner else 0
         return out

@@ -297,7 +297,10 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: i
         tied.append((u["a"], v["a"]))
         if (border[q, True]["tree"], border[q, True]["region"]) != (v["tree"], v["region"]):
             heads = None
-    few_edges = lambda rows: spark.createDataFrame(rows or [(0, 0)], "a long, b long").where("a <> b")
+
+    def few_edges(rows: list[tuple[int, int]]) -> DataFrame:  # an Arrow table needs no Python worker
+        return spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate("ab")})).where("a <> b")
+
     ties = found.where(F.col("kind") == TIE).select("a", "b").where("a <> b").union(few_edges(tied))
     pairs = found.where(F.col("kind") == PAIR).select("a", "b").union(few_edges(across))
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))

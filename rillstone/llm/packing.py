@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import drop_coders, library_coder, text_slices, vocabulary_size, with_end
+from .chunks import CACHE, drop_coders, library_coder, text_slices, vocabulary_size, with_end
 from .common import settle
 from .worker import kernel
 
@@ -121,13 +121,13 @@ def patterns(demand: np.ndarray, weight: np.ndarray, capacity: int, rounds: int
     return whole, np.concatenate([count[count > 0], np.ones(len(rest), np.int64)])
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, owner: str = "") -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, owner: str = "", cache: int = CACHE) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, doc_tokens, ids (binary, little-
     endian, 2 or 4 bytes an id in `width`), part; written to the shared folder."""
     width = 2 if vocabulary_size(tokenizer) <= 1 << 16 and end_id < 1 << 16 else 4
 
     def cut(batches):
-        coder = library_coder(tokenizer, "words")
+        coder = library_coder(tokenizer, "words", cache=cache)
         for batch in batches:
             for lo, hi, texts in text_slices(batch.column("text")):
                 ids, sizes = with_end(*coder.encode(texts), end_id)
@@ -202,8 +202,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, u
     return _join(pieces.select("part", "doc_id", "start", "length", "doc_tokens", "ids", "width"), assign(pieces, length, unit), "ids", "width")
 
 
-def packed_digests(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, unit: int = 8, owner: str = "") -> DataFrame:
-    pieces = cut_documents(docs, tokenizer, end_id, length, owner)
+def packed_digests(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, unit: int = 8, owner: str = "", cache: int = CACHE) -> DataFrame:
+    pieces = cut_documents(docs, tokenizer, end_id, length, owner, cache)
     return _join(digest(pieces), assign(pieces, length, unit), "ids_crc32")
 
 

@@ -392,7 +392,10 @@ def test_language_id(spark):
     rows = spoken()
     table = docs(spark, [(i, t) for i, t, _ in rows], [lang for *_, lang in rows])
     model = language_id.learn(table)
-    assert model.word("haus").argmax() == 0 and model.word("hausen").argmax() == 0 and model.word("qqq").size == 2
+    assert len(model.places("haus")) == 1 < len(model.places("hausen")) and not model.places("ßßß")
+    assert model.sums(["haus", "hausen", "12", "haus-house"])[:, :2].argmax(1).tolist()[:2] == [0, 0]
+    want = [[model.table[model.places(w)].mean(0).tolist() for w in language_id.letters(c)] for c in ("haus-house", "hausen")]
+    assert np.allclose(model.sums(["haus-house", "hausen"]), [[*np.sum(x, 0), len(x)] for x in want])
     odd = [(1, None), (2, ""), (3, "12 34 !?"), (4, "Häuser und Steine"), (5, "walked through greener houses " * 4000), (None, "the house"), (4, "Häuser und Steine"), (6, "²³ ½"), (7, "x" * 3000)]
     got = {r.doc_id: r for r in language_id.predict(docs(spark, odd), model).collect()}
     assert {i: got[i].lang_pred for i in (1, 2, 3, 4, 5, 6, None)} == {1: "und", 2: "und", 3: "und", 4: "de", 5: "en", 6: "und", None: "en"}
@@ -412,8 +415,9 @@ def test_language_id(spark):
 
 def test_language_cache_is_bounded():
     m = language_id.Model(["a", "b"], {"x": [5, 1], "y": [1, 5]}, {"x": [5, 1], "y": [1, 5]})
+    m.restart(30)
     for i in range(5):
-        lang, _ = m.predict([" ".join(f"x{chr(97 + i)}{chr(97 + j)}" for j in range(20)), "y " * 5, "z" * 400], cap=30)
+        lang, _ = m.predict([" ".join(f"x{chr(97 + i)}{chr(97 + j)}" for j in range(20)), "y " * 5, "z" * 400])
         assert lang[:2] == ["a", "b"] and len(m.codes) <= 30
 
 
