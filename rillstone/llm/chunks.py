@@ -150,7 +150,7 @@ class ChunkCoder:
         return ids, np.diff(ends[np.concatenate(([0], np.cumsum(counts)))])
 
 
-def text_slices(column: pa.Array, most: int = 1_000_000):
+def text_slices(column: pa.Array, most: int = 500_000):
     """Ranges of rows of about `most` bytes, at least one row each, with their texts; so
     only a slice of an Arrow batch lives as Python strings at a time."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)

@@ -120,7 +120,7 @@ class Model:
                 found = self.places(w)
                 owner += [i] * len(found)
                 place += found
-                share += [1 / len(found)] * len(found)
+                share += [1 / max(len(found), 1)] * len(found)
         weighted = self.table[np.array(place, np.int64)] * np.array(share)[:, None]
         for j in range(len(self.langs)):
             out[:, j] = np.bincount(owner, weighted[:, j], minlength=len(chunks)) if owner else 0

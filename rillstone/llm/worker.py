@@ -16,15 +16,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 
-IDLE = 2.0
+IDLE = 1.0
 _lock = threading.RLock()
 _held: list[tuple[object, Callable[[], object]]] = []
 _state = {"users": 0, "turn": 0}
 
 
 def trim() -> None:
-    """Hand free memory of Arrow's pool and of the C library back to the system."""
-    pa.default_memory_pool().release_unused()
+    """Hand free memory of the C library back to the system."""
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -36,8 +35,10 @@ def _drop() -> None:
 
 
 def enter(key: object, drop: Callable[[], object] | None) -> None:
-    """A task begins that uses the caches named `key` (None: it has none)."""
+    """A task begins that uses the caches named `key` (None: it has none). Arrow then
+    takes its memory from the C library, as its own pool gives it back by thread."""
     with _lock:
+        pa.set_memory_pool(pa.system_memory_pool())
         if _held and _held[0][0] != key:
             _drop()
             trim()
@@ -58,8 +59,7 @@ def leave() -> None:
     """The task ends; its caches stay for the next one, for a while."""
     with _lock:
         _state["users"] -= 1
-        trim()
-        if _held and not _state["users"]:
+        if not _state["users"]:
             timer = threading.Timer(IDLE, _idle, (_state["turn"],))
             timer.daemon = True
             timer.start()
