@@ -91,7 +91,7 @@ class Model:
         self.__dict__.update(state)
         self.restart()
 
-    def restart(self, cap: int = 100_000) -> None:
+    def restart(self, cap: int = 60_000) -> None:
         """Forget the sums of chunks; at most `cap` are kept."""
         self.codes = Lexicon(cap, 200)
         self.rows = np.zeros((1 << 10, len(self.langs) + 1))
@@ -162,7 +162,7 @@ def _grams(n: int):
     return F.transform(starts, lambda i: F.substring(marked, i, F.lit(n)))
 
 
-def learn(docs: DataFrame, per_language: int = 400) -> Model:
+def learn(docs: DataFrame, per_language: int = 250) -> Model:
     """A model from docs (doc_id, text, lang); doc_id and text only draw the sample."""
     known = docs.where("lang is not null and text is not null and doc_id is not null")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}

@@ -263,7 +263,7 @@ def _confirmed(percent: int):
 #: Up to so many document ids (8 bytes each) are broadcast to filter the second scan.
 BROADCAST_IDS = 1_000_000
 #: Documents of a side in a task of a family.
-BLOCK = 1024
+BLOCK = 512
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: int = 3, owner: str = "", keep_columns: bool = False) -> DataFrame:
