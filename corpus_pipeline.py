@@ -60,7 +60,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _start(spark)
     import public_tokenizers
 
-    return packing.packed_digests(docs, public_tokenizers.path("word_bpe_49k.json"), owner=OWNER, cache=100_000)
+    return packing.packed_digests(docs, public_tokenizers.path("word_bpe_49k.json"), owner=OWNER, cache=60_000)
 
 
 STAGES = [("language", language), ("quality", good), ("lines", lines), ("near", near), ("packing", packed)]
