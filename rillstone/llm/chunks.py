@@ -214,7 +214,7 @@ class _Library:
 
 
 #: Chunks that a worker keeps with their ids, about 150 bytes each.
-CACHE = 500_000
+CACHE = 1_000_000
 _coders: dict[tuple[str, str, bool, int], ChunkCoder] = {}
 
 

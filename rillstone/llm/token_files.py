@@ -114,7 +114,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             own = batch.column("doc_id").to_pylist()
             if own:
                 part = batch.column("part")[0].as_py()
-            for lo, hi, texts in text_slices(batch.column("text")):
+            for lo, hi, texts in text_slices(batch.column("text"), 1_000_000):
                 x, n = with_end(*coder.encode(texts), end_id)
                 ids.append(x)
                 sizes.append(n)
