@@ -63,9 +63,7 @@ def classify(spark: SparkSession, a: argparse.Namespace) -> str:
     spec = Spec(a.method, k=a.topk or max(dim, 1), log2_width=a.log2_width, depth=a.depth, seed=seed, rate=a.lr_init, l2=a.l2_reg, power=a.pow, smooth=a.count_smooth, conservative=a.consv_update, median=a.median_update, no_bias=a.no_bias)
     epochs = a.epochs
     if a.iters or a.sample:
-        from pyspark.sql import Window
-
-        dense = rows.withColumn("n", (F.row_number().over(Window.orderBy("place")) - 1).cast("bigint")).drop("seq", "place")
+        dense = libsvm.numbered_lines(rows).drop("seq", "place")
         draws = a.iters or a.epochs * n
         index = F.pmod(PolynomialHash(1, seed).column(F.col("i")), F.lit(n)) if a.sample else F.pmod(F.col("i"), F.lit(n))
         rows, epochs = libsvm.sample_with_replacement(dense, draws, index, by="n").withColumnRenamed("draw", "seq"), 1

@@ -114,21 +114,77 @@ def murmur32(data: bytes, seed: int = 0) -> int:
     return h
 
 
+def murmur32_many(texts: Sequence[str], seed: int = 0) -> np.ndarray:
+    """The same of many strings at once: a block of each of them a step."""
+    raw = [t.encode() for t in texts]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    width = int(size.max(initial=0)) // 4 + 1
+    out = np.empty(len(raw), np.int64)
+    if len(raw) > 1 and width * 4 > 64 and len(raw) * width > 1 << 20:  # long strings in parts of their own
+        order = np.argsort(size, kind="stable")
+        for part in np.array_split(order, 2 + len(raw) * width // (1 << 21)):
+            if len(part):
+                out[part] = murmur32_many([texts[i] for i in part.tolist()], seed)
+        return out
+    first, turn, second = MURMUR_BLOCK
+    block = np.frombuffer(b"".join(x.ljust(4 * width, b"\0") for x in raw), "<u4").reshape(len(raw), width).astype(np.uint64)
+    mask = np.uint64(M32)
+
+    def rotate(v: np.ndarray, r: int) -> np.ndarray:
+        return (v << np.uint64(r) | v >> np.uint64(32 - r)) & mask
+
+    block = rotate(block * np.uint64(first) & mask, turn) * np.uint64(second) & mask
+    h = np.full(len(raw), seed & M32, np.uint64)
+    turn, factor, addend = MURMUR_STEP
+    for i in range(width):
+        h = np.where(i < size // 4, rotate(h ^ block[:, i], turn) * np.uint64(factor) + np.uint64(addend) & mask, h)
+    h ^= block[np.arange(len(raw)), size // 4]  # the rest; a rest of no bytes is 0
+    h ^= size.astype(np.uint64)
+    for shift, mult in MURMUR_END:
+        h = (h ^ h >> np.uint64(shift)) * np.uint64(mult) & mask
+    return h.astype(np.int64)
+
+
 def murmur32_udf(seed: int = 0):
-    """Arrow UDF string -> bigint, once for each distinct string of a batch."""
+    """Arrow UDF string -> bigint over whole batches."""
 
     @F.pandas_udf("bigint")
     def run(s: pd.Series) -> pd.Series:
-        return s.map({t: murmur32(t.encode(), seed) for t in s.dropna().unique()}).astype("Int64")
+        known = s.dropna().unique()
+        return s.map(dict(zip(known, murmur32_many(list(known), seed).tolist(), strict=True))).astype("Int64")
 
     return run
 
 
+def murmur32_sql(text: str, seed: int = 0) -> str:
+    """The same as SQL of an ASCII string."""
+    first, turn, second = MURMUR_BLOCK
+    step, factor, addend = MURMUR_STEP
+
+    def rotate(v: str, r: int) -> str:
+        return f"((({v} << {r}) | ({v} >> {32 - r})) & {M32})"
+
+    def scramble(v: str) -> str:
+        return f"({rotate(f'(({v} * {first}) & {M32})', turn)} * {second} & {M32})"
+
+    def byte(at: str) -> str:
+        return f"CASE WHEN {at} <= length({text}) THEN ord(substr({text}, CAST({at} AS BIGINT), 1)) ELSE 0 END::HUGEINT"
+
+    whole = f"(length({text}) // 4)"
+    word = lambda i: f"({' + '.join(f'({byte(f'(4 * {i} + {j + 1})')}) * {1 << 8 * j}' for j in range(4))})"
+    mixed = f"list_reduce(list_prepend({seed & M32}::HUGEINT, list_transform(range({whole}), lambda i: {scramble(word('i'))})), lambda h, k: ({rotate('xor(h, k)', step)} * {factor} + {addend}) & {M32})"
+    h = f"xor(xor({mixed}, {scramble(word(whole))}), length({text})::HUGEINT)"
+    for shift, mult in MURMUR_END:
+        h = f"list_transform([{h}], lambda v: (xor(v, v >> {shift}) * {mult}) & {M32})[1]"
+    return f"({h})::BIGINT"
+
+
 def pair_key(h1: Column, h2: Column) -> Column:
     """The 32-bit key of a pair of hashes."""
     return F.pmod(101 * h1 + h2, F.lit(1 << 32))
 
 
 def pair_keys(a: Sequence[str], b: Sequence[str], seed: int) -> np.ndarray:
-    known = {t: murmur32(t.encode(), seed) for t in {*a, *b}}
+    words = list(dict.fromkeys([*a, *b]))
+    known = dict(zip(words, murmur32_many(words, seed).tolist(), strict=True))
     return np.array([(101 * known[x] + known[y]) & M32 for x, y in zip(a, b, strict=True)], np.int64)

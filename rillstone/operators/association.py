@@ -29,10 +29,17 @@ class StreamingPmi:
         self.negatives, self.window, self.seed = negatives, window, seed
         self.model = ActiveSet(Spec("active_set", k=k, log2_width=log2_width, depth=depth, seed=seed, rate=rate, l2=l2))
         self.draws = np.random.Generator(np.random.Philox(seed))
-        self.tokens = TokenReservoir(reservoir, self.draws.random)
+        self.drawn: list[float] = []
+        self.tokens = TokenReservoir(reservoir, self.uniform)
         self.seen = 0
         self.held: list[str] = []
 
+    def uniform(self) -> float:
+        """The next number in [0, 1), drawn many at a time."""
+        if not self.drawn:
+            self.drawn = self.draws.random(4096)[::-1].tolist()
+        return self.drawn.pop()
+
     def update(self, token: str) -> list[tuple[str, str, bool]]:
         """Examples that a token completes; empty tokens are dropped."""
         if not token:
@@ -53,7 +60,7 @@ class StreamingPmi:
     def _with_negatives(self, a: str, b: str) -> Iterable[tuple[str, str, bool]]:
         yield a, b, True
         for _ in range(self.negatives):
-            if self.draws.random() < 0.5:
+            if self.uniform() < 0.5:
                 yield a, self.tokens.sample(), False
             else:
                 yield self.tokens.sample(), b, False
@@ -76,16 +83,9 @@ class StreamingPmi:
         pairs = list(dict.fromkeys((a, b) for a, b, _ in examples))
         at = {p: i for i, p in enumerate(pairs)}
         model.bind(pairs, pair_keys([a for a, _ in pairs], [b for _, b in pairs], self.seed))
-        one = np.ones(1)
-        spec = model.spec
-        for a, b, real in examples:
-            i = np.array([at[a, b]])
-            y = 1 if real else -1
-            z = model.scale * model.margin(i, one) + model.bias
-            g = -1 / (1 + np.exp(min(y * z, 700.0)))
-            model.change(i, one, model.step * y * g)
-            model.bias -= spec.rate / (1 + model.c * model.t) * y * g
-            model.t += 1
+        labels = [int(real) for *_, real in examples]
+        place = np.array([at[a, b] for a, b, _ in examples], np.int64)
+        model.learn_bound(labels, np.arange(len(examples) + 1), place, np.ones(len(examples)))
 
     def top(self, positive: bool = True) -> list[tuple[str, str, float]]:
         keys, w = self.model.weights()
@@ -97,7 +97,7 @@ def fit_pmi(lines: DataFrame, shards: int = 1, **params) -> DataFrame:
     """shard, a, b, weight, num_tokens of lines (doc, line, tokens) in order of (doc,
     line). With several shards each learns from a part of the documents in parallel."""
     part = F.pmod(F.xxhash64(F.col("doc").cast("string")), F.lit(shards)).cast("int")
-    ordered = lines.select(part.alias("shard"), "doc", "line", "tokens").repartition(shards, "shard").sortWithinPartitions("shard", "doc", "line")
+    ordered = lines.select(part.alias("shard"), "doc", "line", "tokens").repartitionById(shards, "shard").sortWithinPartitions("shard", "doc", "line")
 
     def run(batches):
         models: dict[int, StreamingPmi] = {}

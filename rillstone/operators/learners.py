@@ -53,11 +53,20 @@ class Estimator(Protocol):
     def learn(self, labels: np.ndarray, offsets: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray: ...
     def weights(self) -> tuple[np.ndarray, np.ndarray]: ...
     def predict(self, offsets: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray: ...
+    def update(self, label: int, features: dict[int, float]) -> bool: ...
+    def predict_one(self, features: dict[int, float]) -> bool: ...
+    def get(self, key: int) -> float: ...
 
 
 def merged(offsets: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Examples in which each key stands once, at its first place, with summed values."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    if len(keys):
+        low, span = int(keys.min()), int(keys.max()) - int(keys.min()) + 1
+        if span < (1 << 62) // len(offsets):  # one number for each row and key
+            code = np.sort(row * span + (keys - low))
+            if not (code[1:] == code[:-1]).any():
+                return offsets, keys, values
     order = np.lexsort((keys, row))
     same = np.zeros(len(keys), bool)
     same[1:] = (keys[order][1:] == keys[order][:-1]) & (row[order][1:] == row[order][:-1])
@@ -114,6 +123,10 @@ class Learner:
         offsets, keys, values = merged(offsets, keys, np.asarray(values, float))
         distinct, at = np.unique(keys, return_inverse=True)
         self.bind(distinct)
+        return self.learn_bound(labels, offsets, at, values)
+
+    def learn_bound(self, labels: np.ndarray, offsets: np.ndarray, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """`learn` for keys that are bound; `at` numbers them."""
         out = np.empty(len(labels), bool)
         ends = offsets.tolist()
         for i, label in enumerate(np.asarray(labels).tolist()):
@@ -144,6 +157,20 @@ class Learner:
         z = [self.scale * self.margin(at[a:b], values[a:b]) + self.bias if b > a else self.bias for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         return np.array(z) >= 0
 
+    def update(self, label: int, features: dict[int, float]) -> bool:
+        """Learn one example; returns what was predicted before."""
+        keys = np.array(list(features), np.int64)
+        return bool(self.learn(np.array([label]), np.array([0, len(keys)]), keys, np.array(list(features.values()), float))[0])
+
+    def predict_one(self, features: dict[int, float]) -> bool:
+        keys = np.array(list(features), np.int64)
+        return bool(self.predict(np.array([0, len(keys)]), keys, np.array(list(features.values()), float))[0])
+
+    def get(self, key: int) -> float:
+        """The current weight of a key, or its estimate; 0 for a key that was never seen."""
+        self.bind(np.array([key], np.int64))
+        return self.scale * self.margin(np.zeros(1, np.int64), np.ones(1))
+
     def stored(self) -> tuple[list[Hashable], list[float]]:
         """Keys and unscaled weights that a report shows."""
         raise NotImplementedError
@@ -278,8 +305,6 @@ class CountMin(_Sketched, _Stored):
         super().bind(distinct)
         self.cell, _ = self.places(distinct)
 
-    def bind_places(self, distinct) -> None: ...
-
     def change(self, at, v, u) -> None:
         store, index, counts = self.store, at.tolist(), self.counts
         for i in index:
@@ -355,6 +380,69 @@ class ActiveSet(_Sketched):
         self.slot: dict[Hashable, int] = {}
         self.own_cell = np.zeros((self.spec.depth, k), np.int64)
         self.own_sign = np.zeros((self.spec.depth, k))
+        #: No weight of the set is smaller than this.
+        self.bound = 0.0
+
+    def learn_bound(self, labels, offsets, at, values):
+        if self.spec.depth == 1 and len(labels) and (np.diff(offsets) == 1).all():
+            return self._learn_single(np.asarray(labels).tolist(), at.tolist(), values.tolist())
+        return super().learn_bound(labels, offsets, at, values)
+
+    def _learn_single(self, labels: list[int], at: list[int], values: list[float]) -> np.ndarray:
+        """The same rules for examples of one feature each and a sketch of depth 1, on
+        plain numbers; the least weight of the set is followed, not searched."""
+        spec, k = self.spec, self.spec.k
+        rate, c, step, t, bias = 0.0 if spec.no_bias else spec.rate, self.c, self.step, self.t, self.bias
+        table, w, size = self.table.tolist(), self.w.tolist(), np.abs(self.w)
+        loc, cell, sign, keys, index = self.loc.tolist(), self.cell[0].tolist(), self.sign[0].tolist(), self.keys, self.index
+        own_cell, own_sign, who, slot, n = self.own_cell[0].tolist(), self.own_sign[0].tolist(), self.who, self.slot, self.n
+        known, m, least = False, 0, 0.0  # is m the place of the least weight?
+        out, exp = [], math.exp
+        for label, i, v in zip(labels, at, values, strict=True):
+            s = loc[i]
+            x = w[s] if s >= 0 else sign[i] * table[cell[i]]
+            y = 1 if label == 1 else -1
+            z = (1 - c) / (1 + c * (t - 1)) * (x * v) + bias
+            out.append(z >= 0)
+            g = -1 / (1 + exp(y * z)) if y * z < 700 else 0.0
+            new = x - step * y * g * v
+            if s >= 0:
+                w[s] = new
+                size[s] = a = abs(new)
+                if a < least or (a == least and s < m):
+                    m, least = s, a
+                elif s == m:
+                    known = False
+            else:
+                a = abs(new)
+                if n < k:
+                    s, n = n, n + 1
+                    who.append(None)
+                    known = False
+                else:
+                    if not known:
+                        m = int(size.argmin())
+                        least, known = float(size[m]), True
+                    if a >= least:
+                        s = m
+                        table[own_cell[m]] = own_sign[m] * w[m]
+                        gone = who[m]
+                        del slot[gone]
+                        if (old := index.get(gone)) is not None:
+                            loc[old] = -1
+                        known = False
+                    else:
+                        table[cell[i]] -= step * y * g * v * sign[i]
+                if s >= 0:
+                    w[s], who[s], size[s], slot[keys[i]] = new, keys[i], a, s
+                    own_cell[s], own_sign[s], loc[i] = cell[i], sign[i], s
+                    least = 0.0
+            bias -= rate / (1 + c * t) * y * g
+            t += 1
+        self.table, self.w, self.loc = np.array(table), np.array(w), np.array(loc, np.int64)
+        self.own_cell, self.own_sign = np.array([own_cell], np.int64), np.array([own_sign])
+        self.n, self.t, self.bias, self.bound = n, t, bias, 0.0
+        return np.array(out, bool)
 
     def bind(self, distinct, hashed: np.ndarray | None = None) -> None:
         self.keys = distinct.tolist() if isinstance(distinct, np.ndarray) else list(distinct)
@@ -366,7 +454,7 @@ class ActiveSet(_Sketched):
     def margin(self, at, v) -> float:
         self.s = s = self.loc[at]
         w = self.w[s]
-        self.out = out = np.flatnonzero(s < 0)
+        self.out = out = (s < 0).nonzero()[0]
         if len(out):
             own = self.sign[:, at[out]] * self.table[self.cell[:, at[out]]]
             w[out] = own[0] if len(own) == 1 else np.median(own, 0)
@@ -375,21 +463,31 @@ class ActiveSet(_Sketched):
 
     def change(self, at, v, u) -> None:
         s, out = self.s, self.out
+        inside = s >= 0
         if len(out) < len(s):
-            inside = s >= 0
             self.w[s[inside]] -= u * v[inside]
+            self.bound -= abs(u) * float(np.abs(v).max())  # no weight falls by more
         if not len(out):
             return
-        new = self.now[out] - u * v[out]
+        uv = u * v[out]
+        new = self.now[out] - uv
         size = np.abs(new)
+        own = at[out]
         if self.n < self.spec.k:
             order = np.argsort(-size, kind="stable")
             turned = order[:0]
+            self.bound = 0.0
         else:  # what is below the least weight of the set stays out whatever happens
-            enters = size >= np.abs(self.w).min()
-            order, turned = np.flatnonzero(enters), np.flatnonzero(~enters)
-            if len(order) > 1:
-                order = order[np.argsort(-size[order], kind="stable")]
+            if size.max() >= self.bound:
+                self.bound = float(np.abs(self.w).min())
+            enters = size >= self.bound
+            order = enters.nonzero()[0]
+            if len(order):
+                turned = (~enters).nonzero()[0]
+                if len(order) > 1:
+                    order = order[np.argsort(-size[order], kind="stable")]
+            else:
+                turned = slice(None)
         one = self.spec.depth == 1
         for n, j in enumerate(order.tolist()):
             i = int(at[out[j]])
@@ -414,12 +512,10 @@ class ActiveSet(_Sketched):
             self.w[m], self.who[m], self.slot[self.keys[i]] = new[j], self.keys[i], m
             self.own_cell[:, m], self.own_sign[:, m] = self.cell[:, i], self.sign[:, i]
             self.loc[i] = m
-        if len(turned):
-            own = at[out[turned]]
-            if one:
-                np.add.at(self.table, self.cell[0, own], -u * v[out[turned]] * self.sign[0, own])
-            else:
-                np.add.at(self.table, self.cell[:, own], -u * v[out[turned]] * self.sign[:, own])
+        own = own[turned]
+        if len(own):
+            where = self.cell[0, own] if one else self.cell[:, own]
+            np.subtract.at(self.table, where, uv[turned] * (self.sign[0, own] if one else self.sign[:, own]))
 
     def stored(self):
         return list(self.who), self.w[: self.n]

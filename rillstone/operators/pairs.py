@@ -37,15 +37,34 @@ def pmi(pairs: DataFrame, least: int = 1) -> DataFrame:
     left = counts.groupBy("a").agg(F.sum("cnt").alias("ca"))
     right = counts.groupBy("b").agg(F.sum("cnt").alias("cb"))
     total = F.broadcast(counts.agg(F.sum("cnt").alias("n")))
-    joined = counts.where(F.col("cnt") >= least).join(left, "a").join(right, "b").join(total)
+    kept = counts.where(F.col("cnt") >= least)
+    joined = meet(meet(kept, left, "a", "b"), right, "b", "a").join(total)
     return joined.select("a", "b", "cnt", F.ln(F.col("cnt") * F.col("n") / (F.col("ca") * F.col("cb"))).alias("pmi"))
 
 
+#: Parts into which the rows of a frequent key are dealt in a join.
+SALTS = 16
+
+
+def meet(rows: DataFrame, facts: DataFrame, key: str, *salt: str, how: str = "inner") -> DataFrame:
+    """rows joined with at most one fact for each key, where a key may have any share of
+    the rows: each is dealt to one of `SALTS` parts by other columns, and the facts are
+    repeated for each part. Spark may still broadcast facts that it knows to be small."""
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*salt), F.lit(SALTS)))
+    return dealt.join(facts.withColumn("__part", parts), [key, "__part"], how).drop("__part")
+
+
 def negatives(pairs: DataFrame, unigram_slots: DataFrame, slots: int, per_pair: int, draw: Column, coin: Column) -> DataFrame:
     """Each pair with `per_pair` corrupted ones: a side chosen by `coin` (0 or 1, may use
     column j) is replaced by the token in slot `draw` mod `slots` of unigram_slots
     (slot, token). a, b, real."""
-    fake = pairs.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(per_pair)))).withColumn("slot", F.pmod(draw, F.lit(slots))).withColumn("__coin", coin)
-    drawn = fake.join(F.broadcast(unigram_slots) if slots <= 100_000 else unigram_slots, "slot")
-    made = drawn.select(F.when(F.col("__coin") == 0, F.col("a")).otherwise(F.col("token")).alias("a"), F.when(F.col("__coin") == 0, F.col("token")).otherwise(F.col("b")).alias("b"), F.lit(False).alias("real"))
-    return pairs.select("a", "b", F.lit(True).alias("real")).union(made)
+    # one scan: place 0 is the pair itself, the others are corrupted
+    each = pairs.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(per_pair)))).withColumn("slot", F.when(F.col("j") > 0, F.pmod(draw, F.lit(slots)))).withColumn("__coin", coin)
+    if slots <= 100_000:
+        drawn = each.join(F.broadcast(unigram_slots), "slot", "left")
+    else:
+        drawn = each.join(unigram_slots, "slot", "left")
+    real, first = F.col("j") == 0, F.col("__coin") == 0
+    drawn = drawn.where(real | F.col("token").isNotNull())
+    return drawn.select(F.when(real | first, F.col("a")).otherwise(F.col("token")).alias("a"), F.when(real | ~first, F.col("b")).otherwise(F.col("token")).alias("b"), real.alias("real"))

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashes import PolynomialHash, TabulationHash, bucket, sign
+from .heaps import CountHeap
+from .pairs import meet
 
 
 @dataclass(frozen=True)
@@ -98,7 +100,8 @@ def _small(sketch: DataFrame, config: SketchConfig) -> DataFrame:
 
 def conservative(stream: DataFrame, config: SketchConfig, group: str = "model_id", seq: str = "seq", key: str = "key") -> DataFrame:
     """Count-Min with conservative updates: only cells below least + 1 are raised. Rows
-    of a group are taken by seq; groups run in parallel. group, row, bucket, cnt."""
+    of a group are taken by seq, then key; groups run in parallel, each in one task (a sketch needs
+    its stream in order). group, row, bucket, cnt."""
     hashes, width = config.hash, (1 << config.log2_width) - 1
 
     def run(batches):
@@ -125,5 +128,62 @@ def conservative(stream: DataFrame, config: SketchConfig, group: str = "model_id
             yield out()
 
     kind = dict(stream.dtypes)[group]
-    ordered = stream.select(group, seq, key).repartition(group).sortWithinPartitions(group, seq)
+    ordered = stream.select(group, seq, key).repartition(group).sortWithinPartitions(group, seq, key)
     return ordered.mapInPandas(run, f"{group} {kind}, row int, bucket int, cnt bigint")
+
+
+def space_saving(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """key, least, most: for each key of the summaries of the table's partitions, bounds
+    of its count. A partition's summary holds k counters: a key that is not held takes
+    the place, and adds to the count, of the least. Summaries merge by adding bounds; a
+    key that a summary doesn't hold has at most the summary's least count there."""
+
+    def run(batches):
+        heap, over = CountHeap(k), {}
+        for pdf in batches:
+            counts = pdf["key"].dropna().value_counts(sort=False).sort_index()
+            for name, n in zip(counts.index.tolist(), counts.tolist(), strict=True):
+                if name in heap:
+                    heap.change(name, heap.count(name) + n, 0.0)
+                elif not heap.full:
+                    heap.insert(name, n, 0.0)
+                else:
+                    least, _ = heap.first()
+                    gone, _ = heap.pop()
+                    over.pop(gone, None)
+                    heap.insert(name, least + n, 0.0)
+                    over[name] = least
+        names = list(heap)
+        floor = heap.first()[0] if heap.full else 0
+        most = [heap.count(x) for x in names]
+        yield pd.DataFrame({"key": pd.Series([*names, None], dtype=object), "least": [m - over.get(x, 0) for x, m in zip(names, most, strict=True)] + [0], "more": [m - floor for m in most] + [floor]})
+
+    kind = dict(rows.dtypes)[key]
+    found = rows.select(F.col(key).alias("key")).mapInPandas(run, f"key {kind}, least bigint, more bigint")
+    # `more` of the null key: the floors of all summaries
+    sums = found.groupBy("key").agg(F.sum("least").alias("least"), F.sum("more").alias("more"))
+    floor = F.broadcast(sums.where("key is null").agg(F.coalesce(F.sum("more"), F.lit(0)).alias("floor")))
+    return sums.where("key is not null").join(floor).select("key", "least", (F.col("more") + F.col("floor")).alias("most"))
+
+
+def heavy_hitters(rows: DataFrame, key: str, share: float) -> DataFrame:
+    """key, cnt of the keys that have more than `share` of the rows (nulls don't count),
+    exactly: Space-Saving finds the candidates, at most 1 / share for each partition, and
+    a second pass counts only these."""
+    total = rows.where(F.col(key).isNotNull()).count()
+    likely = space_saving(rows, key, int(np.ceil(1 / share))).where(F.col("most") > share * total).select("key")
+    own = rows.select(F.col(key).alias("key")).join(F.broadcast(likely) if likely.count() <= 100_000 else likely, "key")
+    return own.groupBy("key").agg(F.count("*").alias("cnt")).where(F.col("cnt") > share * total)
+
+
+def active_set_scores(examples: DataFrame, active: DataFrame, sketch: DataFrame, config: SketchConfig, bias: float = 0.0) -> DataFrame:
+    """seq, label, z, predicted by an active set kept as tables: exact weights (key,
+    weight) where there is one, else the estimate of a Count-Sketch. Keys are looked up
+    once each; the exact ones never reach the sketch."""
+    flat = examples.select("seq", "label", F.explode_outer("features").alias("f")).select("seq", "label", F.col("f.key").alias("key"), F.col("f.value").cast("double").alias("value"))
+    keys = flat.select("key").where("key is not null").distinct()
+    tail = count_sketch_query(sketch, keys.join(active, "key", "left_anti"), config).select("key", F.col("estimate").alias("weight"))
+    weights = keys.join(active, "key", "left_semi").join(active, "key").select("key", "weight").union(tail)
+    hit = meet(flat, weights, "key", "seq", how="left")
+    z = F.coalesce(F.sum(F.coalesce("weight", F.lit(0.0)) * F.col("value")), F.lit(0.0)) + bias
+    return hit.groupBy("seq", "label").agg(z.alias("z")).withColumn("predicted", F.col("z") >= 0)

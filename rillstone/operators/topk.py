@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pairs import meet
+
 
 def top_by_magnitude(df: DataFrame, k: int, weight: str = "weight", *ties: str) -> DataFrame:
     """The k rows of largest |weight|, then by `ties`; each task keeps k rows."""
@@ -53,6 +55,6 @@ def scores(examples: DataFrame, weights: DataFrame, bias: float = 0.0) -> DataFr
     """seq, label, z, predicted: sparse products with a weight table (key, weight), keys
     without a weight counting 0. Ties (z = 0) are positive."""
     flat = examples.select("seq", "label", F.explode_outer("features").alias("f")).select("seq", "label", F.col("f.key").alias("key"), F.col("f.value").cast("double").alias("value"))
-    hit = flat.join(weights.select("key", "weight"), "key", "left")
+    hit = meet(flat, weights.select("key", "weight"), "key", "seq", how="left")
     z = F.coalesce(F.sum(F.coalesce("weight", F.lit(0.0)) * F.col("value")), F.lit(0.0)) + bias
     return hit.groupBy("seq", "label").agg(z.alias("z")).withColumn("predicted", F.col("z") >= 0)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashes import PolynomialHash
 from .learners import Spec, build, describe, merged, restore
 
 MODEL = "model_id string, kind string, seq bigint, key bigint, weight double, n bigint, label int, predicted boolean, state binary"
@@ -67,7 +68,8 @@ def fit(examples: DataFrame, specs: Spec | Sequence[Spec], predictions: bool = F
     # the models are few and named here: a row is repeated for each, without a join
     rows = rows.withColumn("model_id", F.explode(F.lit(list(names)))) if len(names) > 1 else rows.withColumn("model_id", F.lit(next(iter(names))))
     parts = min(len(names), 4096)
-    ordered = rows.repartition(parts, "model_id").sortWithinPartitions("model_id", *order, by)
+    # names begin with the model's number: one task for each
+    ordered = rows.repartitionById(parts, F.pmod(F.substring_index("model_id", "-", 1).cast("int"), F.lit(parts))).sortWithinPartitions("model_id", *order, by)
 
     def run(batches):
         model, now, errors, seen = None, None, 0, 0
@@ -101,39 +103,80 @@ def fit(examples: DataFrame, specs: Spec | Sequence[Spec], predictions: bool = F
     return ordered.select("model_id", "seq", F.col("label").cast("int").alias("label"), F.col("features").cast("array<struct<key:bigint,value:double>>").alias("features")).mapInArrow(run, MODEL)
 
 
+#: Numbers shards; a fixed hash, so that a repeated run deals examples out alike.
+SHARD = PolynomialHash(1, 29)
+
+
 def fit_sharded(examples: DataFrame, spec: Spec, shards: int) -> DataFrame:
     """key, weight (bias: null key) of the mean of models trained on `shards` parts of
-    the stream at once. Approximate: not what one pass in order gives."""
-    part = F.pmod(F.xxhash64("seq"), F.lit(shards)).cast("string")
-    ordered = examples.select(part.alias("model_id"), "seq", F.col("label").cast("int").alias("label"), F.col("features").cast("array<struct<key:bigint,value:double>>").alias("features")).repartition(shards, "model_id").sortWithinPartitions("model_id", "seq")
+    the stream at once, one task for each; shards without examples don't count. Keys of
+    any shard's report are averaged as each model has them (a sketch gives its estimate
+    of what the report leaves out), and the k largest stay. Approximate: not what one
+    pass in order gives."""
+    part = F.pmod(SHARD.column(F.col("seq")), F.lit(shards)).cast("int")
+    ordered = examples.select(part.alias("shard"), "seq", F.col("label").cast("int").alias("label"), F.col("features").cast("array<struct<key:bigint,value:double>>").alias("features")).repartitionById(shards, "shard").sortWithinPartitions("shard", "seq")
 
     def run(batches):
         models = {}
         for batch in batches:
-            ids = np.array(batch.column("model_id").to_pylist())
+            ids = batch.column("shard").to_numpy()
             for s in dict.fromkeys(ids.tolist()):
                 models.setdefault(s, build(spec)).learn(*flat(pa.RecordBatch.from_struct_array(batch.filter(pa.array(ids == s)).to_struct_array())))
-        for m in models.values():
-            top = m.top()
-            yield pa.RecordBatch.from_arrays([pa.array([*[k for k, _ in top], None], pa.int64()), pa.array([*[w for _, w in top], m.bias], pa.float64())], ["key", "weight"])
+        for s, m in models.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([m.dump()], pa.binary()), pa.array([[k for k, _ in m.top()]], pa.list_(pa.int64()))], ["shard", "state", "keys"])
 
-    return ordered.mapInArrow(run, "key bigint, weight double").groupBy("key").agg((F.sum("weight") / shards).alias("weight"))
+    trained = ordered.mapInArrow(run, "shard int, state binary, keys array<bigint>").persist()
+    every = trained.select(F.explode("keys").alias("key")).distinct().agg(F.sort_array(F.collect_list("key")).alias("keys"))
 
+    def ask(batches):
+        for batch in batches:
+            for state, keys in zip(batch.column("state").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+                model = restore(state)
+                yield pa.RecordBatch.from_arrays([pa.array([*keys, None], pa.int64()), pa.array([*map(model.get, keys), model.bias], pa.float64())], ["key", "weight"])
 
-def predict(examples: DataFrame, models: DataFrame) -> DataFrame:
-    """model_id, seq, label, predicted by models fitted with keep_state; a model's
-    state is bounded by its spec, and states go to the examples one model at a time."""
-    states = {r["model_id"]: bytes(r["state"]) for r in models.where("kind = 'state'").select("model_id", "state").collect()}
-    shared = examples.sparkSession.sparkContext.broadcast(states)
+    # at most shards * k keys meet each model
+    told = trained.select("shard", "state").join(F.broadcast(every.select(F.col("keys").alias("asked")))).mapInArrow(ask, "key bigint, weight double")
+    mean = told.groupBy("key").agg(F.avg("weight").alias("weight"))
+    best = mean.where("key is not null").orderBy(F.abs("weight").desc(), "key").limit(spec.k)
+    return best.union(mean.where("key is null"))
 
-    def run(batches):
-        own = {k: restore(v) for k, v in shared.value.items()}
-        for batch in batches:
-            labels, ends, keys, values = flat(batch)
-            for name, model in own.items():
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(labels)), batch.column("seq"), batch.column("label"), pa.array(model.predict(ends, keys, values))], ["model_id", "seq", "label", "predicted"])
 
-    return examples.select("seq", F.col("label").cast("int").alias("label"), F.col("features").cast("array<struct<key:bigint,value:double>>").alias("features")).mapInArrow(run, "model_id string, seq bigint, label int, predicted boolean")
+#: Bytes of state that one broadcast may have.
+MOST_STATE = 64 << 20
+
+
+def predict(examples: DataFrame, models: DataFrame) -> DataFrame:
+    """model_id, seq, label, predicted by models fitted with keep_state. States go to the
+    examples in broadcasts of at most `MOST_STATE` bytes; a larger one by itself is an
+    error (score its weights as a table by `topk.scores` instead)."""
+    kept = models.where("kind = 'state'").select("model_id", "state")
+    sizes = sorted((r["model_id"], r["n"]) for r in kept.select("model_id", F.length("state").alias("n")).collect())
+    parts: list[tuple[int, list[str]]] = []
+    for name, n in sizes:
+        if n > MOST_STATE:
+            raise ValueError(f"the state of {name} has {n} bytes; score its weights with topk.scores")
+        if not parts or parts[-1][0] + n > MOST_STATE:
+            parts.append((0, []))
+        parts[-1] = (parts[-1][0] + n, [*parts[-1][1], name])
+    rows = examples.select("seq", F.col("label").cast("int").alias("label"), F.col("features").cast("array<struct<key:bigint,value:double>>").alias("features"))
+
+    def scored(names: list[str]) -> DataFrame:
+        states = {r["model_id"]: bytes(r["state"]) for r in kept.where(F.col("model_id").isin(names)).collect()}
+        shared = examples.sparkSession.sparkContext.broadcast(states)
+
+        def run(batches):
+            own = {k: restore(v) for k, v in shared.value.items()}
+            for batch in batches:
+                labels, ends, keys, values = flat(batch)
+                for name, model in own.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(labels)), batch.column("seq"), batch.column("label"), pa.array(model.predict(ends, keys, values))], ["model_id", "seq", "label", "predicted"])
+
+        return rows.mapInArrow(run, "model_id string, seq bigint, label int, predicted boolean")
+
+    out = scored(parts[0][1] if parts else [])
+    for _, names in parts[1:]:
+        out = out.union(scored(names))
+    return out
 
 
 def report(spec: Spec, model: DataFrame, extra: dict | None = None) -> str:

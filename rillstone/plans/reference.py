@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..functions.hashes import PolynomialHash, TabulationHash, bucket, murmur32_udf, pair_key, sign
+from ..functions.hashes import PolynomialHash, TabulationHash, bucket, murmur32_sql, murmur32_udf, pair_key, sign
 from ..operators import association, pairs, sketches, topk, train
 from ..operators.learners import Spec
 from ..operators.sketches import SketchConfig
@@ -63,10 +63,8 @@ def epoch_scan(spark, d):
 
 @query(f"SELECT i AS draw, s_suppkey, s_acctbal FROM (SELECT i, {POLY.sql('i')} % (SELECT count(*) FROM supplier) AS n FROM range(500) t(i)) JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS n FROM supplier) USING (n)")
 def sample_with_replacement(spark, d):
-    s = table(spark, d, "supplier")
-    n = s.count()
-    # keys 1 to n are dense here; other tables would rank theirs
-    rows = s.withColumn("n", F.row_number().over(Window.orderBy("s_suppkey")) - 1).withColumn("n", F.col("n").cast("bigint"))
+    rows = libsvm.numbered(table(spark, d, "supplier"), "s_suppkey")
+    n = rows.count()
     return libsvm.sample_with_replacement(rows, 500, F.pmod(POLY.column(F.col("i")), F.lit(n)), by="n").select("draw", "s_suppkey", "s_acctbal")
 
 
@@ -103,7 +101,7 @@ def sign_bucket(spark, d):
     return _keys(spark, d).select("key", sign(h).alias("sign"), bucket(h, 8).alias("bucket"))
 
 
-@query()
+@query(f"SELECT DISTINCT p_brand, p_type, (101 * {murmur32_sql('p_brand', 42)} + {murmur32_sql('p_type', 42)}) % 4294967296 AS key FROM part")
 def murmur_pair_key(spark, d):
     """Keys of the pairs of a part's brand and type."""
     h = murmur32_udf(42)
@@ -170,13 +168,42 @@ def paired_cms_topk(spark, d):
     return topk.top_by_magnitude(w, 100, "weight", "key")
 
 
-@query()
+_CELLS = 1 << CMS.log2_width
+_RAISED = f"""WITH e AS (SELECT l_returnflag AS model_id, l_orderkey * 10 + l_linenumber AS seq, l_partkey, [{', '.join(f"{i * _CELLS + 1} + ({CMS.hash.sql('l_partkey', i)} & {_CELLS - 1})" for i in range(CMS.depth))}] AS places FROM lineitem),
+g AS (SELECT model_id, list_prepend({{'p': []::BIGINT[], 't': list_transform(range({CMS.depth * _CELLS}), lambda x: 0::BIGINT)}}, list({{'p': places, 't': []::BIGINT[]}} ORDER BY seq, l_partkey)) AS es FROM e GROUP BY model_id),
+f AS (SELECT model_id, list_reduce(es, lambda a, e: {{'p': e.p, 't': list_transform(a.t, lambda v, i: CASE WHEN list_contains(e.p, i) THEN greatest(v, list_min(list_transform(e.p, lambda j: a.t[j])) + 1) ELSE v END)}}).t AS t FROM g)
+SELECT model_id, CAST((i - 1) // {_CELLS} AS INTEGER) AS row, CAST((i - 1) % {_CELLS} AS INTEGER) AS bucket, cnt FROM (SELECT model_id, unnest(t) AS cnt, generate_subscripts(t, 1) AS i FROM f) WHERE cnt > 0"""
+
+
+@query(_RAISED)
 def cms_conservative(spark, d):
     """Conservative Count-Min over lineitem in order, one sketch for each return flag."""
     rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("model_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_partkey").alias("key"))
     return sketches.conservative(rows, CMS)
 
 
+@query(f"SELECT token AS key, count(*) AS cnt FROM {_TOKENS} GROUP BY token HAVING count(*) > 0.002 * (SELECT count(*) FROM {_TOKENS})")
+def heavy_hitters(spark, d):
+    """Tokens that make up more than a 500th of the judged documents."""
+    rows, _ = _toxic_tokens(spark, d)
+    return sketches.heavy_hitters(rows, "token", 0.002)
+
+
+_TAIL = f"SELECT row, bucket, sum(CASE WHEN (h >> 31) & 1 = 1 THEN q ELSE -q END) AS weight FROM ({_cms_sql('(SELECT doc_id % 14 + 2 AS key, quality - 0.75 AS q FROM labels)', 'key', CS, ', q')}) GROUP BY ALL"
+
+
+@query(f"""WITH f AS (SELECT doc_id AS seq, quality AS label, toxic AS key, 1.0::DOUBLE AS value FROM labels UNION ALL SELECT doc_id, quality, doc_id % 14 + 2, 0.5 FROM labels),
+k AS (SELECT DISTINCT key FROM f WHERE key > 4), e AS (SELECT key, median(CASE WHEN (h >> 31) & 1 = 1 THEN coalesce(weight, 0) ELSE -coalesce(weight, 0) END) AS weight FROM ({_cms_sql('k', 'key', CS, ', key')}) LEFT JOIN ({_TAIL}) USING (row, bucket) GROUP BY key
+ UNION ALL SELECT key, key - 2.5 FROM range(5) t(key))
+SELECT seq, label, round(sum(weight * value) + 0.125, 6) AS z FROM f JOIN e USING (key) GROUP BY ALL""")
+def active_set_tables(spark, d):
+    """Five exact weights and a Count-Sketch of the others, as tables, score documents."""
+    rows = table(spark, d, "labels").select((F.col("doc_id") % 14 + 2).alias("key"), (F.col("quality") - 0.75).cast("double").alias("q"))
+    active = spark.range(5).select(F.col("id").alias("key"), (F.col("id") - 2.5).cast("double").alias("weight"))
+    sketch = sketches.count_sketch(rows, F.col("key"), F.col("q"), CS)
+    return sketches.active_set_scores(ex.judged(spark, d), active, sketch, CS, 0.125).select("seq", "label", F.round("z", 6).alias("z"))
+
+
 @query("SELECT l_returnflag, avg(l_quantity) AS mean, median(l_quantity) AS median FROM lineitem GROUP BY ALL")
 def mean_median(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.avg("l_quantity").alias("mean"), F.median("l_quantity").alias("median"))
@@ -276,10 +303,16 @@ def negative_samples(spark, d):
 
 @query()
 def pmi_stream(spark, d):
-    """Streaming PMI over the lines of all documents in bounded memory."""
+    """Streaming PMI over the lines of all documents in bounded memory, by one model."""
     return association.fit_pmi(ex.document_lines(spark, d), k=1024, log2_width=12, window=5, negatives=5, reservoir=4000, seed=1)
 
 
+@query()
+def pmi_shards(spark, d):
+    """The same by eight models of an eighth of the documents each, in parallel."""
+    return association.fit_pmi(ex.document_lines(spark, d), shards=8, k=1024, log2_width=12, window=5, negatives=5, reservoir=4000, seed=1)
+
+
 # learners: in these settings each method must equal plain logistic regression
 
 _RATE, _L2, _DIM = 0.1, 1e-3, 16
@@ -296,6 +329,47 @@ def _model(spark, d, method: str, **params) -> DataFrame:
     return train.fit(ex.judged(spark, d), Spec(method, rate=_RATE, l2=_L2, seed=3, **params))
 
 
+def _budgeted(method: str, examples: str, k: int, cells: int, hashes: str, rate: float, l2: float, key: str = "BIGINT") -> str:
+    """A fold over examples (t, seq, key, label) of one feature each: the state after each
+    of them, and z before it. w, who, cnt and tick are the store; tab is the sketch (for
+    countmin, counts)."""
+    c, step = rate * l2, rate / (1 - rate * l2)
+    least = {"truncated": "list_transform(w, lambda x: abs(x))", "active_set": "list_transform(w, lambda x: abs(x))"}.get(method, "list_transform(cnt, lambda x, i: x * 1000000000 + tick[i])")
+    x = "CASE WHEN pos > 0 THEN w[pos] ELSE " + ("g * tab[c]" if method == "active_set" else "0") + " END"
+    n = "CASE WHEN pos > 0 THEN cnt[pos] + 1 ELSE " + {"spacesaving": f"CASE WHEN len(who) < {k} THEN 1 ELSE cnt[m] + 1 END", "countmin": "tab[c]::BIGINT + 1"}.get(method, "0") + " END"
+    enters = {"spacesaving": "true", "countmin": "n >= cnt[m]"}.get(method, "abs(new) >= abs(w[m])")
+    change = lambda l, v: f"CASE WHEN act = 'add' THEN list_append({l}, {v}) WHEN act = 'stay' THEN {l} ELSE list_transform({l}, lambda q, i: CASE WHEN i = slot THEN {v} ELSE q END) END"
+    tab = {"active_set": "list_transform(tab, lambda q, i: CASE WHEN act = 'stay' AND i = c THEN q - step * g WHEN act = 'swap' AND i = oc[m] THEN og[m] * w[m] ELSE q END)", "countmin": "list_transform(tab, lambda q, i: CASE WHEN i = c THEN q + 1 ELSE q END)"}.get(method, "tab")
+    return f"""WITH RECURSIVE ex AS (SELECT *, {hashes} FROM {examples}),
+fit AS (SELECT CAST(0 AS BIGINT) AS t, CAST(NULL AS BIGINT) AS seq, 0 AS label, CAST(0 AS DOUBLE) AS bias, CAST(0 AS DOUBLE) AS z, []::DOUBLE[] AS w, []::{key}[] AS who, []::BIGINT[] AS cnt, []::BIGINT[] AS tick, []::BIGINT[] AS oc, []::DOUBLE[] AS og, list_transform(range({cells}), lambda x: CAST(0 AS DOUBLE)) AS tab
+ UNION ALL SELECT t + 1, seq, label, bias - {rate!r}::DOUBLE / (1 + {c!r}::DOUBLE * t) * y * gr, z, {change('w', 'new')}, {change('who', 'key')}, {change('cnt', 'n')}, {change('tick', 't')}, {change('oc', 'c')}, {change('og', 'g')}, {tab}
+ FROM (SELECT *, CASE WHEN pos > 0 THEN 'set' WHEN len(who) < {k} THEN 'add' WHEN {enters} THEN 'swap' ELSE 'stay' END AS act, CASE WHEN pos > 0 THEN pos ELSE m END AS slot
+ FROM (SELECT *, x - step AS new, {n} AS n FROM (SELECT *, {step!r}::DOUBLE * y * gr AS step FROM (SELECT *, -1 / (1 + exp(y * z)) AS gr FROM (SELECT *, {1 - c!r}::DOUBLE / (1 + {c!r}::DOUBLE * (t - 1)) * x + bias AS z
+ FROM (SELECT *, {x} AS x FROM (SELECT f.* EXCLUDE (seq, label, z), e.seq, e.label, e.key, e.c, e.g, CASE WHEN e.label = 1 THEN 1 ELSE -1 END AS y, coalesce(list_position(who, e.key), 0) AS pos, list_position({least}, list_min({least})) AS m FROM fit f JOIN ex e ON e.t = f.t)))))))),
+last AS (SELECT *, {1 - c!r}::DOUBLE / (1 + {c!r}::DOUBLE * (t - 1)) AS scale FROM fit ORDER BY t DESC LIMIT 1)"""
+
+
+_ONE = "(SELECT row_number() OVER (ORDER BY doc_id) - 1 AS t, doc_id AS seq, doc_id % 14 AS key, quality AS label FROM labels)"
+_EVENTS = "(SELECT row_number() OVER (ORDER BY event_id) - 1 AS t, event_id AS seq, user_id AS key, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS label FROM events)"
+_NONE = "1 AS c, CAST(1 AS DOUBLE) AS g"
+_STORED = " SELECT who AS key, round(weight, 9) AS weight FROM (SELECT unnest(who) AS who, unnest(w) * scale AS weight FROM last UNION ALL SELECT CAST(-1 AS BIGINT), bias FROM last)"
+
+
+def _tabulated(bits: int, seed: int, key: str = "key") -> str:
+    h = TabulationHash(1, seed).sql(key)
+    return f"({h} & {(1 << bits) - 1}) + 1 AS c, CASE WHEN ({h} >> 31) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS g"
+
+
+def _counted(bits: int, seed: int) -> str:
+    return f"({PolynomialHash(1, seed).sql('key')} & {(1 << bits) - 1}) + 1 AS c, CAST(1 AS DOUBLE) AS g"
+
+
+def _small_model(spark, d, method: str, k: int) -> DataFrame:
+    """Three or four weights for 14 features, and four cells: something always goes."""
+    rows = table(spark, d, "labels").select(F.col("doc_id").alias("seq"), F.col("quality").alias("label"), F.array(ex.feature(F.col("doc_id") % 14)).alias("features"))
+    return _weights(train.fit(rows, Spec(method, k=k, log2_width=2, rate=_RATE, l2=_L2, seed=3)))
+
+
 def _weights(model: DataFrame) -> DataFrame:
     return model.where("kind in ('weight', 'bias')").select(F.coalesce("key", F.lit(-1)).alias("key"), F.round("weight", 9).alias("weight"))
 
@@ -344,6 +418,27 @@ def sketch_injective_median(spark, d):
     return _weights(_model(spark, d, "logistic_sketch", k=64, depth=3, log2_width=5, exact_hash=True, median=True))
 
 
+@query(_budgeted("truncated", _ONE, 4, 1, _NONE, _RATE, _L2) + _STORED)
+def truncated_evicts(spark, d):
+    return _small_model(spark, d, "truncated", 4)
+
+
+@query(_budgeted("spacesaving", _ONE, 4, 1, _NONE, _RATE, _L2) + _STORED)
+def spacesaving_evicts(spark, d):
+    return _small_model(spark, d, "spacesaving", 4)
+
+
+@query(_budgeted("countmin", _ONE, 4, 4, _counted(2, 3), _RATE, _L2) + _STORED)
+def countmin_evicts(spark, d):
+    return _small_model(spark, d, "countmin", 4)
+
+
+@query(_budgeted("active_set", _ONE, 3, 4, _tabulated(2, 3), _RATE, _L2) + _STORED)
+def active_set_evicts(spark, d):
+    """Three exact weights; the others collide in four cells."""
+    return _small_model(spark, d, "active_set", 3)
+
+
 @query(_STATS)
 def active_set_tail(spark, d):
     """Three exact weights; the others lie in a sketch without collisions."""
@@ -374,18 +469,22 @@ def lr_scores(spark, d):
     return topk.scores(ex.judged(spark, d), weights, bias).select("seq", "label", F.round("z", 8).alias("z"), "predicted")
 
 
-@query()
+@query(_FIT + """, p AS (SELECT doc_id AS seq, quality AS label, scale * (w[toxic + 1] + w[doc_id % 14 + 3] * 0.5) + bias >= 0 AS predicted FROM labels, last)
+SELECT model_id, p.* FROM p, (SELECT unnest(['0000-logistic', '0001-active_set', '0002-logistic_sketch']) AS model_id)""")
 def model_predictions(spark, d):
-    """Models kept as state and applied to examples."""
+    """Models kept as state and applied to examples; with room for all features they agree."""
     rows = ex.judged(spark, d)
-    models = train.fit(rows, [Spec("logistic", k=64), Spec("active_set", k=4, log2_width=4)], keep_state=True)
+    common = {"k": 64, "rate": _RATE, "l2": _L2, "log2_width": 5, "exact_hash": True}
+    models = train.fit(rows, [Spec("logistic", **common), Spec("active_set", **common), Spec("logistic_sketch", depth=3, **common)], keep_state=True)
     return train.predict(rows, models)
 
 
-@query()
+@query(_budgeted("active_set", _EVENTS, 32, 64, _tabulated(6, 0), 0.1, 1e-6) + """ SELECT kind, key, round(weight, 6) AS weight, n FROM (
+SELECT 'weight' AS kind, unnest(who) AS key, unnest(w) * scale AS weight, CAST(NULL AS BIGINT) AS n FROM last UNION ALL SELECT 'bias', NULL, bias, NULL FROM last
+UNION ALL SELECT 'stat', NULL, sum(CASE WHEN (z >= 0) <> (label = 1) THEN 1.0 ELSE 0.0 END)::DOUBLE, count(*) FROM fit WHERE seq IS NOT NULL)""")
 def active_set_budgeted(spark, d):
     """Active-set classifier on events in a budget of 32 weights and 64 cells."""
-    return train.fit(ex.events(spark, d), Spec("active_set", k=32, log2_width=6)).drop("state")
+    return train.fit(ex.events(spark, d), Spec("active_set", k=32, log2_width=6)).select("kind", "key", F.round("weight", 6).alias("weight"), "n")
 
 
 @query()
@@ -395,9 +494,22 @@ def method_grid(spark, d):
     return train.fit(ex.events(spark, d), specs).drop("state")
 
 
-@query()
+@query(f"""WITH RECURSIVE ex AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY doc_id) - 1 AS t, quality AS label, toxic + 1 AS i, doc_id % 14 + 3 AS j FROM (SELECT *, {train.SHARD.sql('doc_id')} % 8 AS s FROM labels)),
+fit AS (SELECT s, CAST(0 AS BIGINT) AS t, CAST(0 AS DOUBLE) AS bias, list_transform(range({_DIM}), lambda x: CAST(0 AS DOUBLE)) AS w FROM (SELECT DISTINCT s FROM ex)
+ UNION ALL SELECT s, t + 1, bias - {_RATE}::DOUBLE / (1 + {_RATE * _L2!r}::DOUBLE * t) * y * g, list_transform(w, lambda x, n: CASE WHEN n = i THEN x - {_RATE / (1 - _RATE * _L2)!r}::DOUBLE * y * g WHEN n = j THEN x - {_RATE / (1 - _RATE * _L2)!r}::DOUBLE * y * g * 0.5 ELSE x END)
+ FROM (SELECT *, -1 / (1 + exp(y * z)) AS g FROM (SELECT f.s, f.t, f.bias, f.w, i, j, CASE WHEN e.label = 1 THEN 1 ELSE -1 END AS y, {1 - _RATE * _L2!r}::DOUBLE / (1 + {_RATE * _L2!r}::DOUBLE * (f.t - 1)) * (f.w[i] + f.w[j] * 0.5) + f.bias AS z FROM fit f JOIN ex e ON e.s = f.s AND e.t = f.t))),
+last AS (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY s ORDER BY t DESC) = 1),
+every AS (SELECT CAST(unnest(range({_DIM})) AS BIGINT) AS key, unnest(w) * {1 - _RATE * _L2!r}::DOUBLE / (1 + {_RATE * _L2!r}::DOUBLE * (t - 1)) AS weight FROM last UNION ALL SELECT NULL, bias FROM last)
+SELECT key, round(avg(weight), 9) AS weight FROM every GROUP BY key""")
 def sharded_average(spark, d):
     """Averaged models of eight shards: approximate, parallel in the stream."""
+    spec = Spec("active_set", k=64, log2_width=8, rate=_RATE, l2=_L2)
+    return train.fit_sharded(ex.judged(spark, d), spec, 8).select("key", F.round("weight", 9).alias("weight"))
+
+
+@query()
+def sharded_events(spark, d):
+    """The same over events, with fewer weights than features."""
     return train.fit_sharded(ex.events(spark, d), Spec("active_set", k=64, log2_width=8), 8)
 
 

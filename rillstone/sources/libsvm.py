@@ -6,7 +6,7 @@ array of (key, value) in the order written, with repeated keys allowed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import WHITE, normal_label
@@ -57,6 +57,39 @@ def read_libsvm(spark: SparkSession, path: str, strict: bool = True) -> DataFram
     return parse(lines.withColumn("place", F.struct("file", "seq")), strict=strict).select("seq", "label", "features", "place")
 
 
+def numbered(rows: DataFrame, by: str, *ties: str, buckets: int = 4096) -> DataFrame:
+    """Adds n, the place from 0 in order of the integer column `by` (then `ties`). Rows
+    are numbered in ranges of `by`, and the sizes of at most `buckets` ranges, which are
+    fixed by its least and greatest value, reach the driver; no task gets all rows."""
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    if low is None:
+        return rows.withColumn("n", F.lit(None).cast("bigint")).limit(0)
+    step = (high - low) // buckets + 1
+    ranged = rows.withColumn("__range", F.floor((F.col(by) - low) / step).cast("int"))
+    sizes = {r["__range"]: r["n"] for r in ranged.groupBy("__range").agg(F.count("*").alias("n")).collect()}
+    before, at = [], 0
+    for i in range(buckets):
+        before.append(at)
+        at += sizes.get(i, 0)
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(by, *ties)) - 1
+    return ranged.withColumn("n", (own + F.get(F.lit(before), F.col("__range"))).cast("bigint")).drop("__range")
+
+
+def numbered_lines(examples: DataFrame) -> DataFrame:
+    """Adds n, the place from 0 in order of `place` (see `read_libsvm`): lines are counted
+    within their split of the file; of each split its size is gathered."""
+    file, seq = F.col("place.file"), F.col("place.seq")
+    keyed = examples.withColumn("__f", file).withColumn("__s", F.shiftright(seq, 33))
+    parts = keyed.groupBy("__f", "__s").agg(F.count("*").alias("n"), F.min(seq).alias("low")).collect()
+    rows, at = [], 0
+    for r in sorted(parts, key=lambda r: (r["__f"], r["low"])):
+        rows.append((r["__f"], r["__s"], at))
+        at += r["n"]
+    before = examples.sparkSession.createDataFrame(rows, "__f string, __s bigint, __before bigint")
+    own = F.row_number().over(Window.partitionBy("__f", "__s").orderBy(seq)) - 1
+    return keyed.withColumn("__own", own).join(F.broadcast(before), ["__f", "__s"]).withColumn("n", F.col("__own") + F.col("__before")).drop("__f", "__s", "__own", "__before")
+
+
 def feature_dim(examples: DataFrame) -> DataFrame:
     return examples.select(F.max(F.array_max(F.transform("features", lambda f: f["key"]))).alias("m")).select((F.coalesce("m", F.lit(-1)) + 1).alias("feature_dim"))
 

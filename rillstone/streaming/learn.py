@@ -16,7 +16,9 @@ from ..operators.sketches import SketchConfig, cells
 
 class LearnerProcessor(StatefulProcessor):
     """Keeps one learner for each model_id; a micro-batch is learned in order of seq and
-    the state is written once. Emits the batch's errors and the current top weights."""
+    the state is written once. Emits the batch's errors and the current top weights. A
+    model's part of a micro-batch is sorted in one task's memory: bound it by the source's
+    rate limit (maxFilesPerTrigger, maxOffsetsPerTrigger)."""
 
     def __init__(self, specs: dict[str, Spec]):
         self.specs = specs
