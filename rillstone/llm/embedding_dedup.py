@@ -184,7 +184,7 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 8192, sample: int = 4096, owner: str = "") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 4096, sample: int = 4096, owner: str = "") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding,
     label). `sample` bounds the rows, and `sample / 8` the pivots, that the driver sees."""
 

@@ -10,10 +10,11 @@ region these are all rows of it, in a crowded one those that agree deeper (to ei
 minhashes), so depth adapts to the region. Regions that reach over a border between
 tasks are joined by the rows at it.
 
-Candidates are thinned by set sizes and by agreement of one-byte signatures (below
-`floor` matches of all minhashes a true link is rarer than 1 in 10^9), then confirmed
-on full sets in three steps: each document's most frequent candidate, its next eight,
-and all the rest, every time without pairs that are already in one component.
+Candidates are thinned by set sizes and looked at in three steps: each document's most
+frequent candidate, its next eight, and all the rest, every time without pairs that are
+already in one component. A step drops pairs whose one-byte signatures agree too rarely
+(below `floor` matches of all minhashes a true link is rarer than 1 in 10^9) and confirms
+the others on full sets.
 
 Regions with more rows than the window covers are looked at again. The sorted pass ties
 each of their rows to the region's first one; documents tied in any tree are a family.
@@ -240,7 +241,7 @@ def _alike(floor: int):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("x", "y"))
             ok = pa.array((x == y).sum(1) >= floor)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b", "n")], ["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
 
     return run
 
@@ -304,10 +305,13 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: i
     ties = found.where(F.col("kind") == TIE).select("a", "b").where("a <> b").union(few_edges(tied))
     pairs = found.where(F.col("kind") == PAIR).select("a", "b").union(few_edges(across))
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
-    small = classes.select(F.col("rep").alias("id"), "small")
-    alike = counted.join(small.select(F.col("id").alias("a"), F.col("small").alias("x")), "a").join(small.select(F.col("id").alias("b"), F.col("small").alias("y")), "b").select("a", "b", "n", "x", "y").mapInArrow(kernel(_alike(floor_of(least))), "a long, b long, n long").groupBy("a", "b").agg(F.max("n").alias("n"))
     turn = Window.partitionBy("a").orderBy(F.col("n").desc(), "b")
-    ranked = settle(alike.withColumn("turn", F.row_number().over(turn)), "pairs", owner)
+    ranked = settle(counted.withColumn("turn", F.row_number().over(turn)), "pairs", owner)
+    small = classes.select(F.col("rep").alias("id"), "small")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        x, y = small.select(F.col("id").alias("a"), F.col("small").alias("x")), small.select(F.col("id").alias("b"), F.col("small").alias("y"))
+        return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(kernel(_alike(floor_of(least))), "a long, b long")
 
     def full_sets(batches):
         for batch in batches:
@@ -333,15 +337,15 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: i
     def component_of(c: str) -> DataFrame:
         return comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
 
-    full, comp = sets_of(ranked), None
+    comp = None
     for lo, hi in ((1, 1), (2, 9), (10, None)):
         step = ranked.where(F.col("turn") >= lo) if hi is None else ranked.where(F.col("turn").between(lo, hi))
         if comp is not None:
             step = step.join(component_of("a"), "a", "left").join(component_of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-            step = settle(step.select("a", "b"), "step", owner)
-            if step.isEmpty():
-                continue
-        sure = linked(step, full)
+        step = settle(alike(step), "step", owner)
+        if comp is not None and step.isEmpty():
+            continue
+        sure = linked(step, sets_of(step))
         comp = components(sure if comp is None else sure.union(comp.select("node", "component")), owner)
 
     # what the window does not cover: families of crowded regions with several components
