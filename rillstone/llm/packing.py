@@ -27,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import CACHE, drop_coders, library_coder, text_slices, vocabulary_size, with_end
+from .chunks import drop_coders, library_coder, text_slices, vocabulary_size, with_end
 from .common import settle
 from .worker import kernel
 
 
+#: Chunks that a worker keeps with their ids, about 150 bytes each.
+CACHE = 800_000
+
+
 def piece_classes(length: int = 4096, unit: int = 8) -> np.ndarray:
     """Class sizes in units: every unit up to a 16th of the length, every second up to
     a quarter, every fourth beyond; so a piece is rounded up by about 1 % of its size."""
