@@ -4,9 +4,10 @@ Distinct pieces (matches of the split pattern) that the cache does not know are
 out as rows of matrices, one matrix for each length bucket. In each round every row
 merges its leftmost pair of minimum rank; pair ranks come from an open-addressing
 hash table and are kept in a second matrix, so that a round looks up only the two
-pairs that a merge made. Rows without a pair leave the matrix (compaction). Pieces
-beyond `LONGEST` bytes would need too many rounds; they are merged with a heap by the
-same rule.
+pairs that a merge made. Rows without a pair leave the matrix (compaction). A piece
+beyond `LONGEST` bytes is a matrix by itself: its rows are strips of the piece, each with
+its least rank, so that a round costs a strip and not the whole piece; strips without ids
+leave the chain.
 
 Defined results: a null text is an empty one; an empty text has no ids and decodes to
 no bytes; repeated rows are kept, as are null doc_ids; an empty table gives none; very
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -103,7 +103,7 @@ class ByteBpe:
             if (r := self.ranks.get(p)) is not None:
                 out[i] = np.array([r], np.uint32)
             elif len(p) > LONGEST:
-                out[i] = self._heap(p)
+                out[i] = self._strips(p)
             elif p:
                 buckets.setdefault(-(-len(p) // 4) * 4 if len(p) <= 32 else 1 << (len(p) - 1).bit_length(), []).append(i)
             else:
@@ -150,34 +150,58 @@ class ByteBpe:
             rank[left, at[left] - 1] = self.pairs.get(ids[left, at[left] - 1], low[left])
         return out  # type: ignore[return-value]
 
-    def _heap(self, piece: bytes) -> np.ndarray:
-        """The same merges over a linked list; n log n in the bytes of the piece."""
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        end, gone = len(ids), -1
-        after, before = [*range(1, end), end], [*range(-1, end - 1)]
-        first = self.pairs.get(np.array(ids[:-1], np.uint32), np.array(ids[1:], np.uint32)).tolist()
-        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
+    def _strips(self, piece: bytes) -> np.ndarray:
+        """The rounds of one long piece: the leftmost pair of least rank of all strips. A
+        strip's last id pairs with the first one of the next strip that has any."""
+        n, width = len(piece), LONGEST
+        rows = -(-n // width)
+        ids = np.full((rows, width), NONE)
+        ids.reshape(-1)[:n] = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        rank = np.full(rows * width, NONE)
+        flat = ids.reshape(-1)
+        rank[: n - 1] = self.pairs.get(flat[: n - 1], flat[1:n])
+        rank = rank.reshape(rows, width)
+        least, size = rank.min(1), np.minimum(width, n - np.arange(rows) * width).tolist()
+        after, before = [*range(1, rows + 1)], [*range(-1, rows - 1)]
         known: dict[tuple[int, int], int] = {}
 
-        def offer(i: int) -> None:
-            if i >= 0 and (j := after[i]) < end:
-                pair = ids[i], ids[j]
-                if pair not in known:
-                    known[pair] = int(self.pairs.get(np.array(pair[:1], np.uint32), np.array(pair[1:], np.uint32))[0])
-                if known[pair] != NONE:
-                    heapq.heappush(heap, (known[pair], i, *pair))
-
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            if ids[i] != a or (j := after[i]) >= end or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = r, gone, after[j]
-            if after[i] < end:
-                before[after[i]] = i
-            offer(before[i])
-            offer(i)
-        return np.array([x for x in ids if x != gone], np.uint32)
+        def pair(a: int, b: int) -> int:
+            if (a, b) not in known:
+                known[a, b] = int(self.pairs.get(np.array([a], np.uint32), np.array([b], np.uint32))[0])
+            return known[a, b]
+
+        def leave(r: int, i: int) -> None:
+            size[r] -= 1
+            last = size[r]
+            ids[r, i:last], rank[r, i:last] = ids[r, i + 1 : last + 1], rank[r, i + 1 : last + 1]
+            ids[r, last] = rank[r, last] = NONE
+
+        while True:
+            r = int(least.argmin())
+            low = int(least[r])
+            if low == NONE:
+                return ids[ids != NONE]
+            i, q = int(rank[r].argmin()), after[r]
+            if i + 1 < size[r]:
+                leave(r, i + 1)
+            else:
+                leave(q, 0)
+                if size[q]:
+                    least[q] = rank[q].min()
+                else:
+                    least[q], after[r] = NONE, after[q]
+                    if after[q] < rows:
+                        before[after[q]] = r
+                    q = after[r]
+            ids[r, i] = low
+            behind = ids[r, i + 1] if i + 1 < size[r] else ids[q, 0] if q < rows else NONE
+            rank[r, i] = pair(low, int(behind)) if behind != NONE else NONE
+            if i:
+                rank[r, i - 1] = pair(int(ids[r, i - 1]), low)
+            elif (p := before[r]) >= 0:
+                rank[p, size[p] - 1] = pair(int(ids[p, size[p] - 1]), low)
+                least[p] = rank[p].min()
+            least[r] = rank[r].min()
 
     def encode_chunks(self, chunks: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of strings, each cut by the pattern, one behind the other, and the number

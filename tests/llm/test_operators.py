@@ -451,3 +451,99 @@ def test_em_recovers_labellers():
     assert (((good[back] > 0.5) == truth).mean()) > 0.93
     found = rates[0, :, 2] / (rates[0, :, 0] + rates[0, :, 2])
     assert np.abs(found - right).max() < 0.06
+
+
+def plain_prediction(model, text):
+    """The language of a text by the documented rule, word by word in plain Python."""
+    import math
+
+    own = [w for c in language_id.pieces(text or "") for w in language_id.letters(c)]
+    if not own:
+        return "und", 0.0
+    total = [0.0] * len(model.langs)
+    for w in own:
+        rows = [model.table[i] for i in model.places(w)]
+        for j in range(len(total)):
+            total[j] += sum(float(r[j]) for r in rows) / max(len(rows), 1)
+    best = max(range(len(total)), key=lambda j: (total[j], -j))
+    share = 1 / sum(math.exp((t - total[best]) * min(len(own), 20) / len(own)) for t in total)
+    return model.langs[best], share
+
+
+def test_language_against_brute_force(spark):
+    import math
+    from collections import Counter
+
+    rows = spoken(40)
+    table = docs(spark, [(i, t) for i, t, _ in rows], [lang for *_, lang in rows])
+    model = language_id.learn(table)
+    counts = {lang: Counter(w for i, t, own in rows if own == lang for c in language_id.pieces(t) for w in language_id.letters(c)) for lang in model.langs}
+    known = sorted({w for c in counts.values() for w in c})
+    assert list(model.words) == known
+    size = {lang: sum(c.values()) + 0.5 * len(known) for lang, c in counts.items()}
+    for w in known[::5]:
+        p = [math.log((counts[lang][w] + 0.5) / size[lang]) for lang in model.langs]
+        norm = math.log(sum(map(math.exp, p)))
+        assert np.allclose(model.table[model.words[w]], [x - norm for x in p])
+    grams = Counter()
+    for lang in model.langs:
+        for w, n in counts[lang].items():
+            for k in language_id.ORDERS:
+                for g in language_id.grams(w, k):
+                    grams[g] += n
+    assert set(model.grams) == {g for g in grams if len(g) in language_id.ORDERS}
+    texts = [(i, t) for i, t, _ in rows] + [(900, "qzx hausen walkings 12"), (901, ""), (902, None), (903, "ßßß"), (904, "the " * 3000)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs(spark, texts), model).collect()}
+    for i, t in texts:
+        lang, share = plain_prediction(model, t)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(share)
+
+
+def plain_features(text):
+    """Hashed features of a text by the documented rule, word by word."""
+    from rillstone.llm.wordhash import mix, span_hashes
+
+    def bucket(h):
+        return int(h) >> (64 - quality.BITS)
+
+    own, before, out = [], None, {}
+    for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode()):
+        if not w:
+            continue
+        own.append(w)
+        classes = bytes(quality._SHAPE[b] for b in w)
+        runs = np.frombuffer(bytes(c for i, c in enumerate(classes) if not i or c != classes[i - 1]), np.uint8)
+        shape = span_hashes(runs, np.array([0]), np.array([len(runs)]))[0]
+        found = [shape, mix(np.array([min(len(w), 30) + (1 << 40)], np.uint64))[0]]
+        if before is not None and before.lower() == w.lower():
+            found.append(mix(np.array([shape + np.uint64(7)], np.uint64))[0])
+        for h in found:
+            out[bucket(h)] = out.get(bucket(h), 0) + 1
+        before = w
+    return {b: n / (len(own) + 10) for b, n in out.items()}, len(own)
+
+
+def test_quality_against_brute_force(spark):
+    import math
+
+    rng = random.Random(9)
+    texts = [(i, " ".join(rng.choice(["river", "Stone", "walked", "over,", "12", "WOW!!", "x|y"]) for _ in range(rng.randrange(0, 30)))) for i in range(80)] + [(90, None), (91, "one"), (92, "a a A a"), (93, "word " * 5000)]
+    scorer = quality.fit(docs(spark, texts))
+    got = {r.doc_id: (r.score, r.accepted) for r in quality.score(docs(spark, texts), scorer).collect()}
+    for i, t in texts:
+        f, n = plain_features(t)
+        want = 1 / (1 + math.exp(-sum(scorer.weight[b] * math.sqrt(v) for b, v in f.items()))) if n else 0.0
+        assert got[i][0] == pytest.approx(want) and got[i][1] == (got[i][0] >= 0.5)
+    # expectation-maximisation in plain loops
+    kinds, counts = np.unique(quality.votes(quality.Facts([t for _, t in texts])), axis=0, return_counts=True)
+    good, share, rates = quality.fit_labellers(kinds.astype(int), counts.astype(float))
+    total = [0.0, 0.0]
+    for k, c, g in zip(kinds.tolist(), counts.tolist(), good.tolist()):
+        p = [share, 1 - share]
+        for j, v in enumerate(k):
+            for side in (0, 1):
+                p[side] *= rates[side, j, v + 1] if v else 1.0
+        assert p[0] / sum(p) == pytest.approx(g, abs=1e-6)
+        total[0] += c * g
+        total[1] += c
+    assert share == pytest.approx((total[0] + 1) / (total[1] + 2), abs=1e-6)

@@ -9,6 +9,13 @@ import corpus_pipeline
 from rillstone.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
+NAMES = "doc_id long, text string, lang string, source string, n_chars long, __gone int, runs string, name string, rep long"
+
+
+def corpus(n=30):
+    rng = random.Random(1)
+    vocab = "the of and river stone walking house bridge green over".split()
+    return [" ".join(rng.choice(vocab) for _ in range(40)).capitalize() + "." for _ in range(n)]
 
 
 def test_stages(spark, tmp_path):
@@ -47,3 +54,41 @@ def test_run_over_odd_rows(spark, tmp_path):
 def test_each_operator_is_registered():
     assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
     assert set(SQL) <= set(QUERIES)
+
+
+def test_stages_against_brute_force(spark):
+    """Each stage on rows with clashing further columns, against the rule row by row."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+    from zlib import crc32
+
+    from rillstone.llm import language_id, quality
+    from test_operators import brute_documents, plain_features, plain_prediction
+
+    texts = corpus() + ["WOW!! " * 60, "12 34", None, "", corpus(1)[0], "Das Haus und der Stein. " * 4, "a <|endoftext|> b " * 5, "WOW!! " * 60]
+    texts[3] = texts[2].replace("river", "lake", 1)
+    rows = [(i, t, "de" if t and "Haus" in t else "en", "s", len(t or ""), 1, "r", "n", 7) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, NAMES).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def ids(df):
+        assert df.columns == docs.columns
+        return {r.doc_id for r in df.collect()}
+
+    model = language_id.learn(docs)
+    said = {i: plain_prediction(model, t) for i, t in enumerate(texts)}
+    assert ids(stages["language"](spark, docs, "")) == {i for i, (lang, score) in said.items() if lang != "und" and score >= 0.6}
+    scorer = quality.fit(docs)
+
+    def good(t):
+        f, n = plain_features(t)
+        return n > 0 and sum(scorer.weight[b] * v**0.5 for b, v in f.items()) >= 0
+
+    assert ids(stages["quality"](spark, docs, "")) == {i for i, t in enumerate(texts) if good(t)}
+    assert ids(stages["lines"](spark, docs, "")) == {i for i, t in enumerate(texts) if t and (texts.index(t) == i or len(t.split()) < 50)}
+    assert ids(stages["near"](spark, docs, "")) == {i for i, c in brute_documents([(i, t) for i, t in enumerate(texts)], 5, 80)[1].items() if i == c}
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    pieces = {r.doc_id: r for r in stages["packing"](spark, docs, "").collect()}
+    for i, t in enumerate(texts):
+        own = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (pieces[i].doc_tokens, pieces[i].ids_crc32) == (len(own), crc32(b"".join(x.to_bytes(4, "little") for x in own)))

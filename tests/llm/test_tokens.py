@@ -89,7 +89,18 @@ def test_byte_bpe_equals_library_and_round_trips():
 
     many()
     piece = ("abcdefg" * 20).encode()
-    assert bpe._heap(piece).tolist() == bpe._matrix([piece], 256)[0].tolist() == bpe.encode_pieces([piece])[0].tolist()
+    assert bpe._strips(piece).tolist() == bpe._matrix([piece], 256)[0].tolist() == bpe.encode_pieces([piece])[0].tolist()
+
+
+def test_long_pieces_follow_the_same_rule():
+    bpe = byte_bpe.loaded(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(7)
+    words = ["the", "ing", "ation", "a", "q", "é", "中", "zz"]
+    for n in (255, 256, 257, 511, 512, 513, 1000, 5000):
+        for text in ("a" * n, "ab" * (n // 2), "".join(words[i] for i in rng.integers(0, len(words), n))):
+            assert bpe.encode([text])[0].tolist() == lib.encode_ordinary(text)
 
 
 @settings(max_examples=100, deadline=None)
