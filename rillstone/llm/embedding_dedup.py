@@ -34,7 +34,7 @@ from .components import components, forest
 from .vectors import farthest_first, finite_rows
 from .worker import kernel
 
-LEAF = 24
+LEAF = 64
 SLACK = 1e-9
 #: Cells that a vector of the sample may lie in, on average.
 COPIES = 3.0
@@ -107,24 +107,36 @@ class CoverTree:
 
 
 class Links:
-    """Counts of partners, and edges that span all links, in bounded memory."""
+    """Counts of partners, and each vector's root in the forest of all links. Links
+    within a tree of the forest are dropped as they come, so memory is bounded."""
 
     def __init__(self, n: int):
         self.counts = np.zeros(n, np.int64)
+        self.root = np.arange(n)
         self.ends: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = self.computed = 0
 
     def keep(self, i: np.ndarray, j: np.ndarray) -> None:
-        self.ends.append((i, j))
-        self.held += len(i)
-        if self.held > 2_000_000:
-            self.ends = [forest(*map(np.concatenate, zip(*self.ends, strict=True)))]
-            self.held = len(self.ends[0][0])
+        i, j = self.root[i], self.root[j]
+        new = i != j
+        if new.any():
+            self.ends.append((i[new], j[new]))
+            self.held += int(new.sum())
+            if self.held > 20_000:
+                self.join()
+
+    def join(self) -> None:
+        if self.ends:
+            u, v = forest(*map(np.concatenate, zip(*self.ends, strict=True)))
+            turn = np.arange(len(self.root))
+            turn[u] = v
+            self.root, self.ends, self.held = turn[self.root], [], 0
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.ends:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate([i for i, _ in self.ends]), np.concatenate([j for _, j in self.ends])
+        """Each vector but the roots with its root."""
+        self.join()
+        own = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return own, self.root[own]
 
 
 def link(out: Links, a: CoverTree, b: CoverTree, at: np.ndarray, to: np.ndarray, sizes: np.ndarray, threshold: float, both: bool) -> None:
@@ -146,11 +158,13 @@ def link(out: Links, a: CoverTree, b: CoverTree, at: np.ndarray, to: np.ndarray,
             near = a.x[i] @ b.x[j].T >= threshold
             if one:
                 near[np.arange(len(i)), np.arange(len(i))] = True
-            near_i, near_j = np.nonzero(near)
-            np.add.at(out.counts, at[i[near_i]], sizes[to[j[near_j]]])
-            if both and not one:
-                np.add.at(out.counts, to[j[near_j]], sizes[at[i[near_i]]])
-            out.keep(at[i[near_i]], to[j[near_j]])
+            if near.any():
+                gain = near.astype(float)
+                out.counts[at[i]] += (gain @ sizes[to[j]]).astype(np.int64)
+                if both and not one:
+                    out.counts[to[j]] += (sizes[at[i]] @ gain).astype(np.int64)
+                near_i, near_j = np.nonzero(near)
+                out.keep(at[i[near_i]], to[j[near_j]])
             continue
         if one:
             kb = ka
@@ -184,7 +198,7 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 4096, sample: int = 4096, owner: str = "") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 8192, sample: int = 4096, owner: str = "") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding,
     label). `sample` bounds the rows, and `sample / 8` the pivots, that the driver sees."""
 
@@ -280,7 +294,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = 40
             link(out, h1, g2, i1, j2, size, threshold, False)
             link(out, h2, g1, i2, j1, size, threshold, False)
         u, v = out.edges()
-        u, v = forest(u, v) if len(u) else (u, v)
         own = np.flatnonzero(home)
         return pa.table({"k": pa.array([*k[own], *k[u]], pa.string()), "n": pa.array([*out.counts[own].tolist(), *[0] * len(u)], pa.int64()), "l": pa.array([*[None] * len(own), *k[v]], pa.string())})
 

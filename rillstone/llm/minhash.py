@@ -345,7 +345,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, window: i
         step = settle(alike(step), "step", owner)
         if comp is not None and step.isEmpty():
             continue
-        sure = linked(step, sets_of(step))
+        # settled: two Python nodes in one stage would need twice the workers
+        sure = settle(linked(step, sets_of(step)), "sure", owner)
         comp = components(sure if comp is None else sure.union(comp.select("node", "component")), owner)
 
     # what the window does not cover: families of crowded regions with several components

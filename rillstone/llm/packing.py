@@ -133,7 +133,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int
     def cut(batches):
         coder = library_coder(tokenizer, "words", cache=cache)
         for batch in batches:
-            for lo, hi, texts in text_slices(batch.column("text"), 1_000_000):
+            for lo, hi, texts in text_slices(batch.column("text"), min(1_000_000, 4 * cache)):
                 ids, sizes = with_end(*coder.encode(texts), end_id)
                 pieces = -(-sizes // length)
                 doc = np.repeat(np.arange(hi - lo), pieces)
