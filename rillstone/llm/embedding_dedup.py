@@ -71,6 +71,7 @@ class CoverTree:
             self.kids[node] = np.array(kids)
             todo += [(k, r) for k in kids]
         self.radii, self.centres = np.array(self.radius), np.array(self.centre)
+        self.los, self.his = np.array(self.lo), np.array(self.hi)
 
     def _node(self, lo: int, hi: int, first: int) -> int:
         c = int(self.order[first])
@@ -105,6 +106,11 @@ class CoverTree:
     def rows(self, node: int) -> np.ndarray:
         return self.order[self.lo[node] : self.hi[node]]
 
+    def spread(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of nodes one behind the other, and the number of each."""
+        n = self.his[nodes] - self.los[nodes]
+        return self.order[np.repeat(self.los[nodes] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
 
 class Links:
     """Counts of partners, and each vector's root in the forest of all links. Links
@@ -147,6 +153,18 @@ def link(out: Links, a: CoverTree, b: CoverTree, at: np.ndarray, to: np.ndarray,
         return
     eps = np.sqrt(max(0.0, 2 - 2 * threshold))
     same = a is b
+    total_a, total_b = (np.concatenate(([0], np.cumsum(sizes[own[t.order]]))) for t, own in ((a, at), (b, to)))
+
+    def credit(t: CoverTree, own: np.ndarray, nodes: np.ndarray, hit: np.ndarray, o: CoverTree, others: np.ndarray, total: np.ndarray) -> None:
+        """Count for the rows of `nodes` all rows of the `others` that they hit, and tie
+        rows of a node that hits any to its centre, as all of them link with what it hits."""
+        some = np.flatnonzero(hit.any(1))
+        if len(some):
+            gain = hit[some] @ (total[o.his[others]] - total[o.los[others]])
+            rows, n = t.spread(nodes[some])
+            out.counts[own[rows]] += np.repeat(gain, n)
+            out.keep(own[rows], np.repeat(own[t.centres[nodes[some]]], n))
+
     todo = [(0, 0)]
     while todo:
         m, n = todo.pop()
@@ -183,13 +201,13 @@ def link(out: Links, a: CoverTree, b: CoverTree, at: np.ndarray, to: np.ndarray,
             reach = a.radii[part][:, None] + b.radii[rest][None, :]
             once = np.arange(len(rest))[None, :] >= np.arange(len(part))[:, None] if one else np.ones(d.shape, bool)
             whole = once & (d + reach <= eps - SLACK)
-            for p, q in zip(*np.nonzero(whole), strict=True):
-                i, j = at[a.rows(part[p])], to[b.rows(rest[q])]
-                out.counts[i] += sizes[j].sum()
-                if both and not (same and part[p] == rest[q]):
-                    out.counts[j] += sizes[i].sum()
-                out.keep(i, np.full(len(i), j[0]))
-                out.keep(np.full(len(j), i[0]), j)
+            if whole.any():
+                credit(a, at, part, whole, b, rest, total_b)
+                if both:
+                    half = whole & (part[:, None] != rest[None, :]) if same else whole
+                    credit(b, to, rest, half.T, a, part, total_a)
+                p, q = np.nonzero(whole)
+                out.keep(at[a.centres[part[p]]], to[b.centres[rest[q]]])
             todo += [(int(part[p]), int(rest[q])) for p, q in zip(*np.nonzero(once & ~whole & (d <= reach + eps + SLACK)), strict=True)]
 
 
