@@ -27,19 +27,30 @@ def unigrams(lines: DataFrame, tokens: str = "tokens") -> DataFrame:
     return lines.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
 
 
-def pmi(pairs: DataFrame, least: int = 1) -> DataFrame:
-    """a, b, cnt, pmi = ln(c(a,b) N / (c(a) c(b))) with margins of the pair table.
+def margins(lines: DataFrame, window: int, tokens: str = "tokens") -> DataFrame:
+    """token, ca, cb: in how many pairs of `skipgrams` a word stands first and second. A
+    word has min(window, words behind it) followers and min(window, words before it)
+    leaders, so no pair is made."""
+    words = lines.select(F.size(tokens).alias("n"), F.posexplode(tokens).alias("pos", "token"))
+    after, before = F.least(F.lit(window), F.col("n") - 1 - F.col("pos")), F.least(F.lit(window), F.col("pos"))
+    return words.groupBy("token").agg(F.sum(after).alias("ca"), F.sum(before).alias("cb"))
 
-    Pairs are counted once (combined before the shuffle); margins are sums over the
-    counts, not over the pairs again.
+
+def pmi(lines: DataFrame, window: int, least: int = 1, tokens: str = "tokens") -> DataFrame:
+    """a, b, cnt, pmi = ln(c(a,b) N / (c(a) c(b))) of the pairs of `skipgrams`, where
+    c(a,b) is at least `least`.
+
+    Pairs are made, shuffled and counted once (combined before the shuffle); margins come
+    from the words. A word of fewer than `least` pairs on a side is in no kept pair there.
     """
-    counts = pairs.groupBy("a", "b").agg(F.count("*").alias("cnt"))
-    left = counts.groupBy("a").agg(F.sum("cnt").alias("ca"))
-    right = counts.groupBy("b").agg(F.sum("cnt").alias("cb"))
-    total = F.broadcast(counts.agg(F.sum("cnt").alias("n")))
-    kept = counts.where(F.col("cnt") >= least)
-    joined = meet(meet(kept, left, "a", "b"), right, "b", "a").join(total)
-    return joined.select("a", "b", "cnt", F.ln(F.col("cnt") * F.col("n") / (F.col("ca") * F.col("cb"))).alias("pmi"))
+    counts = skipgrams(lines, window, tokens).groupBy("a", "b").agg(F.count("*").alias("cnt"))
+    facts = margins(lines, window, tokens)
+    left = facts.where(F.col("ca") >= max(least, 1)).select(F.col("token").alias("a"), "ca")
+    right = facts.where(F.col("cb") >= max(least, 1)).select(F.col("token").alias("b"), "cb")
+    total = F.broadcast(facts.agg(F.sum("ca").alias("n")))
+    joined = meet(meet(counts.where(F.col("cnt") >= least), left, "a", "b"), right, "b", "a").join(total)
+    ratio = F.col("cnt").cast("double") * F.col("n") / (F.col("ca").cast("double") * F.col("cb"))
+    return joined.select("a", "b", "cnt", F.ln(ratio).alias("pmi"))
 
 
 #: Parts into which the rows of a frequent key are dealt in a join.
@@ -49,10 +60,11 @@ SALTS = 16
 def meet(rows: DataFrame, facts: DataFrame, key: str, *salt: str, how: str = "inner") -> DataFrame:
     """rows joined with at most one fact for each key, where a key may have any share of
     the rows: each is dealt to one of `SALTS` parts by other columns, and the facts are
-    repeated for each part. Spark may still broadcast facts that it knows to be small."""
+    repeated for each part. They are never broadcast: Spark's estimate of their size leaves
+    out that they are repeated."""
     parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*salt), F.lit(SALTS)))
-    return dealt.join(facts.withColumn("__part", parts), [key, "__part"], how).drop("__part")
+    return dealt.join(facts.withColumn("__part", parts).hint("merge"), [key, "__part"], how).drop("__part")
 
 
 def negatives(pairs: DataFrame, unigram_slots: DataFrame, slots: int, per_pair: int, draw: Column, coin: Column) -> DataFrame:

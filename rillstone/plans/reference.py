@@ -280,7 +280,7 @@ SELECT a, b, cnt, round(ln(CAST(cnt AS DOUBLE) * n / (CAST(ca AS DOUBLE) * cb)),
 
 @query(f"SELECT * FROM ({_PMI}) WHERE pmi >= 0 ORDER BY pmi DESC, a, b LIMIT 100")
 def pmi_topk(spark, d):
-    found = pairs.pmi(pairs.skipgrams(ex.turn_lines(spark, d), 5), least=5)
+    found = pairs.pmi(ex.turn_lines(spark, d), 5, least=5)
     kept = found.select("a", "b", "cnt", F.round("pmi", 9).alias("pmi")).where("pmi >= 0")
     return kept.orderBy(F.col("pmi").desc(), "a", "b").limit(100)
 

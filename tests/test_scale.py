@@ -127,3 +127,22 @@ def test_meet_deals_a_frequent_key_out(spark):
     facts = spark.createDataFrame([("the", 3), ("rare", 4)], "w string, n int")
     assert sorted((r.w, r.i, r.n) for r in pairs.meet(rows, facts, "w", "i").collect()) == sorted([("the", i, 3) for i in range(50)] + [("rare", 1, 4)])
     assert pairs.meet(rows, facts, "w", "i", how="left").where("n is null").count() == 1
+
+
+def test_meet_does_not_broadcast_repeated_facts(spark):
+    rows = spark.createDataFrame([("the", i) for i in range(50)], "w string, i int")
+    joined = pairs.meet(rows, rows.groupBy("w").count(), "w", "i")
+    joined.collect()
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_margins_are_sums_over_pairs(spark):
+    rng = random.Random(4)
+    lines = [(i, [rng.choice("abcde") for _ in range(rng.randrange(9))]) for i in range(60)] + [(60, None)]
+    df = spark.createDataFrame(lines, "line int, tokens array<string>")
+    for window in (0, 1, 3, 20):
+        made = [(t[i], b) for _, t in lines for i in range(len(t or [])) for b in t[i + 1 : i + 1 + window]]
+        both, first, second = Counter(made), Counter(a for a, _ in made), Counter(b for _, b in made)
+        assert {r.token: (r.ca, r.cb) for r in pairs.margins(df, window).collect()} == {t: (first[t], second[t]) for t in "abcde"}
+        want = {(a, b): (n, pytest.approx(np.log(n * len(made) / (first[a] * second[b])))) for (a, b), n in both.items() if n >= 4}
+        assert {(r.a, r.b): (r.cnt, r.pmi) for r in pairs.pmi(df, window, least=4).collect()} == want
