@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from importlib import resources
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from py4j.java_gateway import JavaObject
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Class loaders by application and name of a compiled class.
+_compiled: dict[tuple[str, str], JavaObject] = {}
 #: Long texts make batches of the default sizes a burden: Arrow's on both sides, and the
 #: Parquet reader's in the executors' heaps.
 BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512}
@@ -31,3 +35,31 @@ def ship(spark: SparkSession) -> None:
                 z.write(f, f"rillstone/{f.relative_to(root)}")
         sc.addPyFile(str(path))
     _shipped.add(sc.applicationId)
+
+
+def kernel(spark: SparkSession, name: str, *args: str) -> JavaObject:
+    """A new object of the Java class in operators/{name}.java, which Spark's own compiler
+    (Janino) compiles and all executors get, once for each application."""
+    sc = spark.sparkContext
+    jvm, at = sc._jvm, (sc.applicationId, name)
+    if at not in _compiled:
+        compiler = jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.cook(resources.files("rillstone.operators").joinpath(f"{name}.java").read_text())
+        path = Path(tempfile.mkdtemp(prefix="rillstone-")) / f"{name}.jar"
+        with zipfile.ZipFile(path, "w") as z:
+            for made, code in compiler.getBytecodes().items():
+                z.writestr(made.replace(".", "/") + ".class", bytes(code))
+        sc._jsc.addJar(str(path))
+        _compiled[at] = compiler.getClassLoader()
+    given = sc._gateway.new_array(jvm.Object, len(args))
+    for i, x in enumerate(args):
+        given[i] = x
+    return _compiled[at].loadClass(f"rillstone.{name}").getConstructors()[0].newInstance(given)
+
+
+def map_rows(rows: DataFrame, run: JavaObject, schema: str) -> DataFrame:
+    """Each partition's rows through a kernel, in their order."""
+    spark = rows.sparkSession
+    jvm = spark.sparkContext._jvm
+    kind = jvm.org.apache.spark.sql.types.StructType.fromDDL(schema)
+    return DataFrame(rows._jdf.mapPartitions(run, jvm.org.apache.spark.sql.Encoders.row(kind)), spark)

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillstone.functions.hashes import murmur32, murmur32_many
-from rillstone.operators import pairs, sketches, train
+from rillstone.operators import association, pairs, sketches, train
+from rillstone.operators.association import StreamingPmi
 from rillstone.operators.learners import METHODS, ActiveSet, Learner, Spec, build, merged
 from rillstone.sources import libsvm
 
@@ -146,3 +147,48 @@ def test_margins_are_sums_over_pairs(spark):
         assert {r.token: (r.ca, r.cb) for r in pairs.margins(df, window).collect()} == {t: (first[t], second[t]) for t in "abcde"}
         want = {(a, b): (n, pytest.approx(np.log(n * len(made) / (first[a] * second[b])))) for (a, b), n in both.items() if n >= 4}
         assert {(r.a, r.b): (r.cnt, r.pmi) for r in pairs.pmi(df, window, least=4).collect()} == want
+
+
+@pytest.mark.parametrize(
+    "params",
+    [
+        {"k": 30, "log2_width": 5, "seed": 1},
+        {"k": 30, "log2_width": 6, "depth": 3, "seed": 7, "reservoir": 50, "window": 2},
+        {"k": 12, "log2_width": 4, "depth": 2, "seed": 2, "negatives": 1, "window": 20, "l2": 1e-3},
+        {"k": 5, "log2_width": 4, "window": 0},
+        {"k": 4000, "log2_width": 12, "seed": 3, "l2": 1e-4},
+    ],
+)
+def test_kernel_learns_as_the_python_model(spark, params):
+    rng = random.Random(6)
+    lines = [(i // 3, i % 3, [f"{'wé'[i % 2]}{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randrange(14))]) for i in range(600)]
+    lines += [(200, 0, []), (200, 1, None), (200, 2, ["", "a", "", "日本語"])]
+    df = spark.createDataFrame(rng.sample(lines, len(lines)), "doc long, line int, tokens array<string>").repartition(3)
+    model = StreamingPmi(**params)
+    model.learn(t or [] for *_, t in lines)
+    learned = association.fit_pmi(df, **params)
+    got = learned.collect()
+    assert [(r.a, r.b, pytest.approx(r.weight)) for r in got] == model.top() and {r.num_tokens for r in got} <= {model.seen}
+    assert "MapInPandas" not in learned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kernel_forgets_the_numbers_of_unused_words(spark):
+    rng = random.Random(8)
+    lines = [(i, 0, [w for j in range(100) for w in ("new", "york", f"{i}x{j}", f"c{rng.randrange(40)}")]) for i in range(2800)]
+    params = {"k": 20, "log2_width": 6, "negatives": 1, "window": 1, "reservoir": 60, "seed": 4}
+    model = StreamingPmi(**params)
+    model.learn(t for *_, t in lines)
+    got = association.fit_pmi(spark.createDataFrame(lines, "doc long, line int, tokens array<string>"), **params).collect()
+    assert [(r.a, r.b, pytest.approx(r.weight)) for r in got] == model.top() and got
+
+
+def test_kernel_keeps_a_model_for_each_shard(spark):
+    lines = [(i, 0, ["a", f"b{i % 3}", f"c{i % 5}"]) for i in range(90)]
+    df = spark.createDataFrame(lines, "doc long, line int, tokens array<string>")
+    got = association.fit_pmi(df, shards=4, k=9, log2_width=5).collect()
+    docs = {r.doc: r.s for r in df.select("doc", F.pmod(F.xxhash64(F.col("doc").cast("string")), F.lit(4)).alias("s")).collect()}
+    assert len(set(docs.values())) == 4
+    for s in range(4):
+        model = StreamingPmi(k=9, log2_width=5)
+        model.learn(t for d, _, t in lines if docs[d] == s)
+        assert [(r.a, r.b, pytest.approx(r.weight), r.num_tokens) for r in got if r.shard == s] == [(*x, model.seen) for x in model.top()]
