@@ -60,6 +60,12 @@ def test_pmi_stream_reads_documents(spark, tmp_path):
     assert {r.num_tokens for r in got} == {104} and ("new", "york") in {(r.a, r.b) for r in got}
 
 
+@pytest.mark.parametrize("name", ["pmi_stream", "pmi_shards"])
+def test_streaming_pmi_needs_no_python_worker(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapPartitions" in plan and not any(x in plan for x in ("Pandas", "Python", "Arrow"))
+
+
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
