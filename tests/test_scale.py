@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import threading
+import time
 from collections import Counter
 
 import numpy as np
@@ -13,6 +15,7 @@ from rillstone.functions.hashes import murmur32, murmur32_many
 from rillstone.operators import association, pairs, sketches, train
 from rillstone.operators.association import StreamingPmi
 from rillstone.operators.learners import METHODS, ActiveSet, Learner, Spec, build, merged
+from rillstone.session import kernel, map_rows
 from rillstone.sources import libsvm
 
 FEATURES = "seq long, label int, features array<struct<key:bigint,value:float>>"
@@ -192,3 +195,27 @@ def test_kernel_keeps_a_model_for_each_shard(spark):
         model = StreamingPmi(k=9, log2_width=5)
         model.learn(t for d, _, t in lines if docs[d] == s)
         assert [(r.a, r.b, pytest.approx(r.weight), r.num_tokens) for r in got if r.shard == s] == [(*x, model.seen) for x in model.top()]
+
+
+def test_one_model_learns_beside_the_words(spark):
+    """Shards keep to a thread each; no thread outlives its query."""
+    names = lambda: [t.getName() for t in spark._jvm.Thread.getAllStackTraces().keySet()]
+    lines = [(i, 0, [f"w{j * j % 97}" for j in range(200)]) for i in range(1500)]
+    df = spark.createDataFrame(lines, "doc long, line int, tokens array<string>")
+    for shards, most in ((1, 1), (2, 0)):
+        run = threading.Thread(target=association.fit_pmi(df, shards=shards).collect)
+        run.start()
+        seen = 0
+        while run.is_alive():
+            seen = max(seen, names().count("pmi-learner"))
+            time.sleep(0.02)
+        assert seen == most
+        time.sleep(0.2)
+        assert "pmi-learner" not in names()
+
+
+def test_a_learner_that_fails_fails_the_query(spark):
+    rows = spark.createDataFrame([(0, "a\nb\nc\nd")], "shard int, text string")
+    run = kernel(spark, "PmiKernel", "4 4 2 1 1 10 0 0.1 0.0 1 2 4", "0 0 0")
+    with pytest.raises(Exception, match="ArrayIndexOutOfBounds"):
+        map_rows(rows, run, "shard int, a string, b string, weight double, num_tokens bigint").collect()
