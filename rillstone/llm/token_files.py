@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import local_files
 from .chunks import drop_coders, library_coder, text_slices, vocabulary_size, with_end
 from .common import keep_until_exit, scratch, shuffle_parts
 from .worker import kernel
@@ -126,7 +127,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if doc_ids:
             yield pa.RecordBatch.from_pylist([_segment(part, base, width, doc_ids, np.concatenate(ids), np.concatenate(sizes))], _ARROW)
 
-    ordered.mapInArrow(kernel(encode, "coders", drop_coders), SEGMENTS).write.parquet(path)
+    ordered.mapInArrow(kernel(encode, "coders", drop_coders), SEGMENTS).write.options(**local_files(spark)).parquet(path)
 
 
 def _decode(before: dict[int, int], digest_only: bool):

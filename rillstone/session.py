@@ -37,13 +37,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def kernel(spark: SparkSession, name: str, *args: str) -> JavaObject:
-    """A new object of the Java class in operators/{name}.java, which Spark's own compiler
+def compiled(spark: SparkSession, name: str) -> JavaObject:
+    """A loader of the Java class in operators/{name}.java, which Spark's own compiler
     (Janino) compiles and all executors get, once for each application."""
     sc = spark.sparkContext
-    jvm, at = sc._jvm, (sc.applicationId, name)
+    at = sc.applicationId, name
     if at not in _compiled:
-        compiler = jvm.org.codehaus.janino.SimpleCompiler()
+        compiler = sc._jvm.org.codehaus.janino.SimpleCompiler()
         compiler.cook(resources.files("rillstone.operators").joinpath(f"{name}.java").read_text())
         path = Path(tempfile.mkdtemp(prefix="rillstone-")) / f"{name}.jar"
         with zipfile.ZipFile(path, "w") as z:
@@ -51,10 +51,24 @@ def kernel(spark: SparkSession, name: str, *args: str) -> JavaObject:
                 z.writestr(made.replace(".", "/") + ".class", bytes(code))
         sc._jsc.addJar(str(path))
         _compiled[at] = compiler.getClassLoader()
-    given = sc._gateway.new_array(jvm.Object, len(args))
+    return _compiled[at]
+
+
+def kernel(spark: SparkSession, name: str, *args: str) -> JavaObject:
+    """A new object of a compiled class."""
+    sc = spark.sparkContext
+    given = sc._gateway.new_array(sc._jvm.Object, len(args))
     for i, x in enumerate(args):
         given[i] = x
-    return _compiled[at].loadClass(f"rillstone.{name}").getConstructors()[0].newInstance(given)
+    return compiled(spark, name).loadClass(f"rillstone.{name}").getConstructors()[0].newInstance(given)
+
+
+def local_files(spark: SparkSession) -> dict[str, str]:
+    """Options of a writer by which files in a local folder are made without starting a
+    process for each (see LocalFiles.java). Other stores take no notice."""
+    loader = compiled(spark, "LocalFiles")
+    spark._jsc.hadoopConfiguration().setClassLoader(loader)
+    return {"fs.file.impl": "rillstone.LocalFiles", "fs.file.impl.disable.cache": "true"}
 
 
 def map_rows(rows: DataFrame, run: JavaObject, schema: str) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import struct
+import subprocess
+import sys
 from collections import defaultdict
 from zlib import crc32
 
@@ -19,6 +22,7 @@ from tokenizers import Tokenizer
 
 from rillstone.llm import byte_bpe, packing, token_files
 from rillstone.llm.chunks import ChunkCoder, library_coder, split_blanks
+from rillstone.session import local_files
 
 TEXT = st.text(st.one_of(st.sampled_from(" \n\t'sS.,!1aé中 ́\x1c\0🙂"), st.characters(codec="utf-8")), max_size=60)
 ODD = [None, "", " ", "\n\n x", "a" * 700, "it's  fine\t\n ok ", "ΟΔΥΣΣΕΥΣ ς", "<|endoftext|> x", "é́ ́", "1234 5.6", "x" * 300 + " " + "ab" * 200]
@@ -195,3 +199,39 @@ def test_reader_finds_boundaries_by_select(monkeypatch):
     starts = np.cumsum(sizes) - sizes
     assert got["start"] == (starts + 107).tolist() and got["n_tokens"] == sizes.tolist()
     assert got["ids"] == [ids[a : a + n].tolist() for a, n in zip(starts.tolist(), sizes.tolist())]
+
+
+def test_token_files_start_no_process(tmp_path):
+    """The JVM's memory counts twice while it starts one, so none is started for a file."""
+    (tmp_path / "chmod").write_text(f'#!/bin/sh\necho "$@" >> {tmp_path}/started\nexec /bin/chmod "$@"\n')
+    (tmp_path / "chmod").chmod(0o755)
+    code = f"""
+from pyspark.sql import SparkSession
+import public_tokenizers as P
+from rillstone.llm import token_files
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.createDataFrame([(i, f"text {{i}}") for i in range(20)], "doc_id long, text string")
+token_files.write_token_files(docs, "{tmp_path}/files", P.path("byte_bpe_50k.json"), parts=3)
+print("rows", token_files.read_token_files(spark, "{tmp_path}/files", True).count())
+"""
+    env = os.environ | {"PATH": f"{tmp_path}:{os.environ['PATH']}", "PYTHONPATH": os.pathsep.join(sys.path)}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 20" in done.stdout, done.stderr[-2000:]
+    started = (tmp_path / "started").read_text() if (tmp_path / "started").exists() else ""
+    assert f"{tmp_path}/files" not in started
+    made = sorted((tmp_path / "files").glob("part-*"))
+    assert made and all(x.stat().st_mode & 0o777 == 0o644 and (x.parent / f".{x.name}.crc").exists() for x in made)
+
+
+def test_local_files_set_permissions(spark, tmp_path):
+    options = local_files(spark)
+    conf = spark._jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration())
+    for k, v in options.items():
+        conf.set(k, v)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"file://{tmp_path}/a b")
+    fs = path.getFileSystem(conf)
+    assert fs.getClass().getName() == "rillstone.LocalFiles"
+    fs.create(path).close()
+    for mode in ("640", "755", "1777"):
+        fs.setPermission(path, spark._jvm.org.apache.hadoop.fs.permission.FsPermission(mode))
+        assert (tmp_path / "a b").stat().st_mode & 0o7777 == int(mode, 8)
